@@ -61,6 +61,14 @@ def small_enough(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT) ->
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def spread(docs: DataFrame, k: int) -> DataFrame:
+    """docs without all but k files, evenly spaced in the listing, where it scans more files than that; else docs itself."""
+    files = sorted(docs.inputFiles())
+    if len(files) <= k:
+        return docs
+    return docs.where(F.col("_metadata.file_path").isin([files[i * len(files) // k] for i in range(k)]))
+
+
 def text_of(docs: DataFrame) -> Column:
     return docs["text"].cast("string")
 

@@ -19,7 +19,7 @@ SAMPLE_ROWS = 3000
 SYMBOLS = "$%&*#@^~<>{}[]\\="
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
 #: Shares of a text's characters (or words, or lines) above which a rule rejects.
-LIMITS = {"symbols": 0.04, "pipes": 0.01, "exclamations": 0.04, "capitals": 0.45, "digits": 0.5, "word_length": 24.0, "distinct_words": 0.2, "repeated_lines": 0.4}
+LIMITS = {"symbols": 0.04, "pipes": 0.01, "exclamations": 0.04, "capitals": 0.45, "digits": 0.5, "word_length": 24.0, "distinct_words": 0.3, "repeated_lines": 0.4}
 #: Texts with fewer characters, words or lines than these are exempt from the rules on shares.
 LEAST = {"chars": 20, "words": 30, "lines": 4}
 
@@ -48,11 +48,7 @@ def rules(text: Column, limits: dict[str, float] = LIMITS) -> dict[str, Column]:
 
 def _sample(docs: DataFrame, rows: int, seed: int) -> DataFrame:
     """About so many texts, from a few files spread over the listing where docs is a scan, so that its cost doesn't grow with the table."""
-    texts = docs.select(common.text_of(docs).alias("t")).where("t IS NOT NULL")
-    files = sorted(docs.inputFiles())
-    if len(files) > 8:
-        chosen = [files[i * len(files) // 8] for i in range(8)]
-        texts = docs.where(F.col("_metadata.file_path").isin(chosen)).select(common.text_of(docs).alias("t")).where("t IS NOT NULL")
+    texts = common.spread(docs, 8).select(common.text_of(docs).alias("t")).where("t IS NOT NULL")
     n = texts.count()
     return texts.sample(min(1.0, rows / max(n, 1)), seed)
 
