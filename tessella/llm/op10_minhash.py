@@ -138,7 +138,7 @@ def group(sets: list[np.ndarray], keys: list[np.ndarray], threshold: float) -> l
 
 def _verifier(threshold: float):
     def verify(batches):
-        """Rows (c, f, r, doc_id, bands, text) sorted by c, then doc_id, f, r; c may go on in the next batch."""
+        """Rows (c, f, r, text) sorted by c, then doc_id, f, r; c may go on in the next batch."""
         at, sets, keys, ids = None, [], [], []
 
         def close():
@@ -148,18 +148,17 @@ def _verifier(threshold: float):
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["f", "r", "to_f", "to_r"])
 
         for batch in batches:
-            data, off = common.utf8(batch.column(5))
+            data, off = common.utf8(batch.column(3))
             c, f, r = (batch.column(i).to_pylist() for i in range(3))
-            lists = batch.column(4)
-            k = lists.flatten().to_numpy().reshape(len(lists), -1)
             for lo, hi in common.slices(off):
                 e, bounds = shingles(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                k = bands(sketch(e, bounds))  # again, as that is less work than moving them
                 for i in range(lo, hi):
                     if c[i] != at:
                         yield from close()
                         at, sets, keys, ids = c[i], [], [], []
                     sets.append(np.unique(e[bounds[i - lo] : bounds[i - lo + 1]]))
-                    keys.append(k[i])
+                    keys.append(k[i - lo])
                     ids.append((f[i], r[i]))
         yield from close()
 
@@ -186,9 +185,9 @@ def duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     least = keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("z")).where("a <> z").select("key", "a")
     edges = keyed.join(least, "key").where("h <> a").select("a", F.col("h").alias("b")).distinct()
     near = graph.components(edges)
-    chosen = common.materialise(reps.join(near.withColumnRenamed("node", "h"), "h").select(F.col("root").alias("c"), "f", "r", "doc_id", "bands"), "candidates")
-    texts = rows.select("f", "r", "text").join(common.small_enough(chosen, 320), ["f", "r"]).select("c", "f", "r", "doc_id", "bands", "text")
-    links = texts.repartition("c").sortWithinPartitions("c", F.col("doc_id").isNull(), "doc_id", "f", "r").mapInArrow(_verifier(threshold), "f long, r long, to_f long, to_r long")
+    chosen = common.materialise(reps.join(near.withColumnRenamed("node", "h"), "h").select(F.col("root").alias("c"), "f", "r", "doc_id"), "candidates")
+    texts = rows.select("f", "r", "text").join(common.small_enough(chosen, 32), ["f", "r"]).select("c", "f", "r", "text", "doc_id")
+    links = texts.repartition("c").sortWithinPartitions("c", F.col("doc_id").isNull(), "doc_id", "f", "r").drop("doc_id").mapInArrow(_verifier(threshold), "f long, r long, to_f long, to_r long")
     return links.unionByName(copies).select(F.col("f").alias("__f"), F.col("r").alias("__r"))
 
 
