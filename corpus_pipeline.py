@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import common, op02_language, op07_quality, op10_minhash
+from tessella.llm import common, op02_language, op05_packing, op07_quality, op08_exact, op10_minhash
 
 #: (name, function); each function takes (spark, docs, sf_dir). All but the last return the columns of documents.
 STAGES = [
     ("quality_rules", op07_quality.stage),
     ("language_id", op02_language.stage),
+    ("exact_dedup", op08_exact.stage),
     ("minhash_dedup", op10_minhash.stage),
+    ("best_fit_packing", op05_packing.stage),
 ]
 
 #: The cascade is plain SQL, but code lengths, sketches and evolved packings are not.

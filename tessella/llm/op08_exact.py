@@ -58,7 +58,7 @@ def _send(owners: int):
         owner = (value // np.uint64(span)).astype(np.int64) if owners > 1 else np.zeros(len(value), np.int64)
         rows = []
         cut = np.searchsorted(owner, np.arange(owners + 1))
-        for o in np.flatnonzero(np.diff(cut)):
+        for o in np.flatnonzero(np.diff(cut)).tolist():
             lo, hi = cut[o], cut[o + 1]
             code, bits = golomb_encode(value[lo:hi] - np.uint64(o * span), span)
             rows.append((pdf["f"].iloc[0], pdf["s"].iloc[0], int(o), int(hi - lo), bits, code, np.packbits(count[lo:hi] > 1).tobytes()))
