@@ -1 +1,2 @@
 """Queries over the driver tables, by capability family."""
+from tessella.plans import labels  # noqa: F401
