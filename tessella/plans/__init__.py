@@ -1,2 +1,3 @@
-"""Queries over the driver tables, by capability family."""
-from tessella.plans import labels  # noqa: F401
+"""Queries over the driver tables, by capability family. Importing the modules registers them."""
+
+from tessella.plans import decisions, labels, rasters, selection, statistics, vectors  # noqa: F401
