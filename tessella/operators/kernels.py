@@ -237,6 +237,7 @@ def canny(image: np.ndarray, low: float = 50, high: float = 150) -> np.ndarray:
     m = np.abs(gx) + np.abs(gy)
     p = np.pad(m, 1)
     angle = np.rad2deg(np.arctan2(gy, gx)) % 180
+    angle[angle >= 180] = 0  # what rounding makes of a tiny negative angle
     keep = np.zeros(a.shape, bool)
     for (dy, dx), lo, hi in (((0, 1), 0, 22.5), ((1, 1), 22.5, 67.5), ((1, 0), 67.5, 112.5), ((1, -1), 112.5, 157.5), ((0, 1), 157.5, 180)):
         here = (angle >= lo) & (angle < hi)
