@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -48,12 +49,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def with_row_id(docs: DataFrame) -> DataFrame:
-    """Adds __f, __r: a stable identity of each row, equal rows included. File hash and row number of a scan; any other plan is written to the shared folder first."""
-    ids = (F.xxhash64("_metadata.file_path").alias("__f"), F.col("_metadata.row_index").alias("__r"))
+    """(doc, f, r): each row as a struct, so that no column of it can clash with ours, and a stable identity of it, equal rows
+    included: file hash and row number of a scan. Any plan that isn't one scan is written to the shared folder first."""
+    ids = (F.struct("*").alias("doc"), F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r"))
     try:
-        return docs.select("*", *ids)
+        return docs.select(*ids)
     except AnalysisException:
-        return materialise(docs, "rows").select("*", *ids)
+        return materialise(docs, "rows").select(*ids)
+
+
+def numbered_texts(known: DataFrame) -> DataFrame:
+    """(f, r, doc_id, text) from rows with identities; nulls are still there."""
+    return known.select("f", "r", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").cast("string").alias("text"))
+
+
+def without(known: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows, as they came, of all identities that gone (f, r) doesn't have."""
+    return known.join(small_enough(gone, 16), ["f", "r"], "left_anti").select("doc.*")
 
 
 def small_enough(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT) -> DataFrame:
@@ -62,11 +74,11 @@ def small_enough(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT) ->
 
 
 def spread(docs: DataFrame, k: int) -> DataFrame:
-    """docs without all but k files, evenly spaced in the listing, where it scans more files than that; else docs itself."""
-    files = sorted(docs.inputFiles())
+    """docs without all but k files (by name), evenly spaced in the listing, where it scans more files than that; else docs itself."""
+    files = sorted({unquote(f.rpartition("/")[2]) for f in docs.inputFiles()})
     if len(files) <= k:
         return docs
-    return docs.where(F.col("_metadata.file_path").isin([files[i * len(files) // k] for i in range(k)]))
+    return docs.where(F.col("_metadata.file_name").isin([files[i * len(files) // k] for i in range(k)]))
 
 
 def text_of(docs: DataFrame) -> Column:

@@ -115,7 +115,7 @@ def build(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """The store as a written table: a row for each chunk of each document's recipe, in which the ids (payload) of every
     distinct chunk are there exactly once, at the first row that sent them."""
     known = common.with_row_id(docs)
-    rows = known.select(F.col("__f").alias("f"), F.col("__r").alias("r"), known["doc_id"].cast("long").alias("doc_id"), common.text_of(known).alias("text")).where("text IS NOT NULL")
+    rows = common.numbered_texts(known).where("text IS NOT NULL")
     cut = rows.mapInArrow(_cutter(tokenizer), _CUT)
     rank = F.row_number().over(Window.partitionBy("digest").orderBy(F.col("payload").isNull(), "f", "r", "seq"))
     once = cut.withColumn("rank", rank).withColumn("payload", F.when(F.col("rank") == 1, F.col("payload"))).drop("rank")

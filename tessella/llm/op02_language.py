@@ -20,8 +20,9 @@ from . import common
 ORDER = 3
 #: Bound of the labelled sample: whole documents of each language, in hash order, until either is reached.
 TRAIN_DOCS, TRAIN_BYTES = 300, 1 << 19
-#: Bits a byte of the best language above which a document is in none of the languages.
-REJECT_BITS = 6.5
+#: A document is in none of the languages if under the best its code takes more than so many bits a byte, and these besides, so that
+#: a few unusual bytes don't decide on a short one.
+REJECT_BITS, REJECT_SLACK = 6.5, 128
 
 
 class Model(NamedTuple):
@@ -154,22 +155,30 @@ def labelled_sample(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_bytes:
     return out
 
 
-def identify(docs: DataFrame, columns: list[str], reject_bits: float = REJECT_BITS, model: Model | None = None) -> DataFrame:
-    """The given columns of the rows of docs that are in one of the languages, with __language and __bits (bits a byte under it).
+def identify(docs: DataFrame, reject_bits: float = REJECT_BITS, model: Model | None = None) -> DataFrame:
+    """(doc, language, bits): the rows of docs that are in one of the languages, as structs, so that no column of theirs can clash with
+    ours, and the bits a byte under the language.
 
-    Null and empty texts have no language and are rejected, as is a text whose shortest code takes more than reject_bits a byte.
+    Null and empty texts have no language and are rejected, as is a text whose shortest code takes more than reject_bits a byte and
+    REJECT_SLACK in all.
     Ties go to the language that sorts first. Repeated rows are judged each on its own. Where no row has a label, there is nothing
     to tell languages by: all rows stay, with null in both columns. An empty table gives an empty one. Texts count whole.
     """
+    columns = docs.columns
+    carried = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)), common.text_of(docs).alias("text"))
+    doc = F.struct(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns))).alias("doc")
+    return _scored(docs, carried, reject_bits, model).select(doc, "language", "bits")
+
+
+def _scored(docs: DataFrame, carried: DataFrame, reject_bits: float, model: Model | None) -> DataFrame:
+    """carried (anything, and last a text) without the text, but with language and bits; rejected rows are left out."""
     spark = docs.sparkSession
     if model is None:
         samples = labelled_sample(docs)
         if not samples:
-            return docs.select(*columns, F.lit(None).cast("string").alias("__language"), F.lit(None).cast("double").alias("__bits"))
+            return carried.drop("text").withColumns({"language": F.lit(None).cast("string"), "bits": F.lit(None).cast("double")})
         model = train(samples)
     shipped = spark.sparkContext.broadcast(model)
-    carried = docs.select(*(docs[c].alias(f"__c{i}") for i, c in enumerate(columns)), common.text_of(docs).alias("__text"))
-
     def score(batches):
         m = shipped.value
         for batch in batches:
@@ -178,21 +187,21 @@ def identify(docs: DataFrame, columns: list[str], reject_bits: float = REJECT_BI
             size = np.diff(off)
             best = total.argmin(1) if len(total) else np.zeros(0, int)
             rate = total[np.arange(len(total)), best] / np.maximum(size, 1)
-            keep = pa.array((size > 0) & (rate <= reject_bits))
+            keep = pa.array((size > 0) & (rate * size <= reject_bits * size + REJECT_SLACK))
             names = pa.array(m.languages, pa.string()).take(pa.array(best))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], names, pa.array(rate)], schema=pa.schema([*list(batch.schema)[:-1], pa.field("__language", pa.string()), pa.field("__bits", pa.float64())])).filter(keep)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], names, pa.array(rate)], schema=pa.schema([*list(batch.schema)[:-1], pa.field("language", pa.string()), pa.field("bits", pa.float64())])).filter(keep)
 
-    kept = carried.drop("__text").schema
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "__language string", "__bits double"])
-    out = carried.mapInArrow(score, schema)
-    return out.select(*(F.col(f"__c{i}").alias(c) for i, c in enumerate(columns)), "__language", "__bits")
+    kept = carried.drop("text").schema
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "language string, bits double"])
+    return carried.mapInArrow(score, schema)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows of docs in one of its languages, columns unchanged; text passes through the scoring, so nothing is joined."""
-    return identify(docs, docs.columns).drop("__language", "__bits")
+    return identify(docs).select("doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return identify(docs, ["doc_id"]).select("doc_id", F.col("__language").alias("language"), F.round("__bits", 4).alias("bits_per_byte"))
+    found = _scored(docs, docs.select("doc_id", common.text_of(docs).alias("text")), REJECT_BITS, None)
+    return found.select("doc_id", "language", F.round("bits", 4).alias("bits_per_byte"))

@@ -151,8 +151,8 @@ def _verify(t: int):
     return check
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    rows = docs.select(F.col("__f").alias("f"), F.col("__r").alias("r"), docs["doc_id"].cast("long").alias("doc_id"), common.text_of(docs).alias("text")).where("text IS NOT NULL")
+def _lines(known: DataFrame) -> DataFrame:
+    rows = common.numbered_texts(known).where("text IS NOT NULL")
     lines = rows.select("f", "r", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     return lines.where("trim(line) <> ''").withColumn("h", F.xxhash64("line"))
 

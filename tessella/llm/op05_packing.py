@@ -157,8 +157,7 @@ def _epoch(capacity: int, generations: int, epoch: int):
 
 def items(docs: DataFrame, capacity: int, tokenizer: str) -> DataFrame:
     """(f, r, doc_id, n): every row of docs with a text, and its tokens with the separator."""
-    known = common.with_row_id(docs)
-    rows = known.select(F.col("__f").alias("f"), F.col("__r").alias("r"), known["doc_id"].cast("long").alias("doc_id"), common.text_of(known).alias("text")).where("text IS NOT NULL")
+    rows = common.numbered_texts(common.with_row_id(docs)).where("text IS NOT NULL")
     counted = rows.mapInArrow(_counter(tokenizer), "f long, r long, doc_id long, n long")
     return common.materialise(counted.withColumn("n", F.col("n") + 1), "lengths")
 

@@ -19,6 +19,8 @@ from . import common
 SENDER_ROWS = 1 << 19
 #: Fingerprints that an owner gets, about, and so how many owners there are.
 OWNER_ROWS = 1 << 18
+#: Owners at most, so that a full sender's code for one still holds enough fingerprints to be worth a message.
+MOST_OWNERS = SENDER_ROWS // 64
 
 
 def golomb_encode(sorted_values: np.ndarray, span: int) -> tuple[bytes, int]:
@@ -90,18 +92,17 @@ def _suspects(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
 def exchange(prints: DataFrame) -> DataFrame:
     """Rows (f, r, fp) to those whose fp occurs more than once. (f, r) is a row's identity."""
     rows = common.materialise(prints.select("f", "r", "fp", F.expr(f"r div {SENDER_ROWS}").alias("s")), "fingerprints")
-    owners = max(1, rows.count() // OWNER_ROWS)
+    owners = min(max(1, rows.count() // OWNER_ROWS), MOST_OWNERS)
     codes = rows.groupBy("f", "s").applyInPandas(_send(owners), "f long, s long, o long, n long, bits int, code binary, twice binary")
     answers = codes.groupBy("o").applyInPandas(_answer, "f long, s long, o long, bitmap binary, n long")
     return rows.groupBy("f", "s").cogroup(answers.groupBy("f", "s")).applyInPandas(_suspects, "f long, r long, fp long")
 
 
-def copies(docs: DataFrame) -> DataFrame:
-    """(f, r, to_f, to_r, doc_id): for each row of docs (with row ids) whose text another row has byte by byte, the row that stays:
-    of the least doc_id (null last), then row id. The one that stays points to itself and carries the number of copies as n."""
-    prints = docs.select(F.col("__f").alias("f"), F.col("__r").alias("r"), F.xxhash64(common.text_of(docs)).alias("fp"), common.text_of(docs).isNotNull().alias("some")).where("some").drop("some")
-    suspects = common.materialise(exchange(prints), "suspects")
-    rows = docs.select(F.col("__f").alias("f"), F.col("__r").alias("r"), docs["doc_id"].cast("long").alias("doc_id"), common.text_of(docs).alias("text"))
+def copies(known: DataFrame) -> DataFrame:
+    """(f, r, n) of the rows whose fingerprint another row has: n is the number of rows with just this text for the one that stays (of
+    the least doc_id, null last, then by the row's place), null for those that go. rows come with identities."""
+    rows = common.numbered_texts(known).where("text IS NOT NULL")
+    suspects = common.materialise(exchange(rows.select("f", "r", F.xxhash64("text").alias("fp"))), "suspects")
     texts = rows.join(common.small_enough(suspects, 24), ["f", "r"]).select("fp", "text", F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "f", "r").alias("k"))
     # bytes are compared as the grouping key; partial aggregation collapses a hot text within each task first
     groups = texts.groupBy("fp", "text").agg(F.min("k").alias("k"), F.count("*").alias("n"))
@@ -109,33 +110,26 @@ def copies(docs: DataFrame) -> DataFrame:
     return suspects.join(winners, ["f", "r"], "left").select("f", "r", "n")
 
 
-def deduplicate(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(docs with row ids, rows that go as (__f, __r)).
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """The rows of docs but for all save one of those with the same text byte by byte; all columns, extra ones included.
 
-    Of rows with the same text byte by byte, one stays. Null texts are not equal to each other: all such rows stay; empty texts
-    are equal. Ties of doc_id and wholly repeated rows go by the row's place. Texts are compared whole; an empty table stays empty.
+    Null texts are not equal to each other: all such rows stay; empty texts are equal. Ties of doc_id and wholly repeated rows go by
+    the row's place, so that one stays. Texts are compared whole; an empty table stays empty.
     """
     known = common.with_row_id(docs)
-    marked = common.materialise(copies(known), "copies")
-    return known, marked
-
-
-def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all its columns, extra ones included."""
-    known, marked = deduplicate(docs)
-    gone = marked.where("n IS NULL").select(F.col("f").alias("__f"), F.col("r").alias("__r"))
-    return known.join(common.small_enough(gone, 16), ["__f", "__r"], "left_anti").select(*docs.columns)
+    return common.without(known, common.materialise(copies(known), "copies").where("n IS NULL").select("f", "r"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_copies(docs)
+    return deduplicate(docs)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row that stays, with the number of rows that have its text."""
-    known, marked = deduplicate(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    flags = common.small_enough(marked.select(F.col("f").alias("__f"), F.col("r").alias("__r"), F.coalesce("n", F.lit(0)).alias("n")), 24)
-    return known.select("__f", "__r", "doc_id").join(flags, ["__f", "__r"], "left").where("n IS NULL OR n > 0").select("doc_id", F.coalesce("n", F.lit(1)).cast("long").alias("n_copies"))
+    known = common.with_row_id(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    marked = common.materialise(copies(known), "copies").select("f", "r", F.coalesce("n", F.lit(0)).alias("n"))
+    joined = known.select("f", "r", F.col("doc.doc_id").alias("doc_id")).join(common.small_enough(marked, 24), ["f", "r"], "left")
+    return joined.where("n IS NULL OR n > 0").select("doc_id", F.coalesce("n", F.lit(1)).cast("long").alias("n_copies"))
 
 
 SQL = "SELECT min(doc_id) AS doc_id, count(*) AS n_copies FROM documents WHERE text IS NOT NULL GROUP BY text UNION ALL SELECT doc_id, 1 FROM documents WHERE text IS NULL"

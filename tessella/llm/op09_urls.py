@@ -34,7 +34,7 @@ SUFFIXES, PREFIXES = 4, 4
 
 def expressions(url: Column) -> Column:
     """The distinct lookup expressions of a URL; null for null, none for what has no scheme or host."""
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)", 1))
+    host = F.lower(F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)", 1), r"^[.]+|[.]+$", ""))
     rest = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)", 1)
     path = F.regexp_extract(rest, r"^([^?]*)", 1)
     query = F.regexp_extract(rest, r"^[^?]*([?].*)$", 1)
@@ -62,7 +62,7 @@ def apply_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     malformed URLs match nothing. Repeated rows are judged each on its own; extra columns play no part; very long URLs count whole.
     """
     known = common.with_row_id(pages)
-    rows = known.select(F.col("__f").alias("f"), F.col("__r").alias("r"), known["page_id"].alias("page_id"), known["url"].cast("string").alias("url"))
+    rows = known.select("f", "r", F.col("doc.page_id").alias("page_id"), F.col("doc.url").cast("string").alias("url"))
     keyed = rows.select("f", "r", F.explode(expressions(F.col("url"))).alias("expression")).select("f", "r", F.sha2("expression", 256).alias("digest"))
     keyed = keyed.withColumn("short", F.conv(F.substring("digest", 1, 8), 16, 10).cast("long"))
     listed = rules.select(rules["expression"].cast("string").alias("expression"), rules["action"].alias("action"), F.coalesce(rules["priority"], F.lit(0)).alias("priority")).where("expression IS NOT NULL AND action IS NOT NULL").distinct()
@@ -83,7 +83,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = f"""
 WITH p AS (SELECT page_id, url, row_number() OVER () AS rid FROM pages),
 a AS (
-  SELECT rid, page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)) AS host,
+  SELECT rid, page_id, lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1), '^[.]+|[.]+$', '', 'g')) AS host,
     regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1) AS rest FROM p),
 b AS (SELECT rid, page_id, host, CASE WHEN regexp_extract(rest, '^([^?]*)', 1) = '' THEN '/' ELSE regexp_extract(rest, '^([^?]*)', 1) END AS path, regexp_extract(rest, '^[^?]*([?].*)$', 1) AS query FROM a WHERE host <> ''),
 h AS (

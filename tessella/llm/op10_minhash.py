@@ -165,14 +165,14 @@ def _verifier(threshold: float):
     return verify
 
 
-def duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(__f, __r) of the rows of docs (with row ids) that go: all of each group but the one with the least doc_id (null last, then
+def duplicates(known: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(f, r) of the rows, given with identities, that go: all of each group but the one with the least doc_id (null last, then
     by row id). A group is a component of the graph of the pairs that share a band and whose shingle sets have at least the
     threshold as Jaccard similarity; rows of equal word sequences are together always.
 
     Null texts and texts without a word are in no group and all stay. Very long texts count whole. Repeated rows are one group.
     """
-    rows = docs.select(F.col("__f").alias("f"), F.col("__r").alias("r"), docs["doc_id"].cast("long").alias("doc_id"), common.text_of(docs).alias("text"))
+    rows = common.numbered_texts(known)
     signed = common.materialise(rows.where("text IS NOT NULL").mapInArrow(_signatures, "f long, r long, doc_id long, h long, h2 long, bands array<long>"), "signatures")
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "f", "r")
     # equal word sequences first: one representative of each goes on
@@ -188,15 +188,14 @@ def duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     chosen = common.materialise(reps.join(near.withColumnRenamed("node", "h"), "h").select(F.col("root").alias("c"), "f", "r", "doc_id"), "candidates")
     texts = rows.select("f", "r", "text").join(common.small_enough(chosen, 32), ["f", "r"]).select("c", "f", "r", "text", "doc_id")
     links = texts.repartition("c").sortWithinPartitions("c", F.col("doc_id").isNull(), "doc_id", "f", "r").drop("doc_id").mapInArrow(_verifier(threshold), "f long, r long, to_f long, to_r long")
-    return links.unionByName(copies).select(F.col("f").alias("__f"), F.col("r").alias("__r"))
+    return links.unionByName(copies).select("f", "r")
 
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs without all but one of each group of near duplicates (see duplicates()); all columns unchanged, extra ones
     and nulls in them included. An empty table gives an empty one."""
     known = common.with_row_id(docs)
-    gone = common.materialise(duplicates(known, threshold), "gone")
-    return known.join(common.small_enough(gone, 16), ["__f", "__r"], "left_anti").select(*docs.columns)
+    return common.without(known, common.materialise(duplicates(known, threshold), "gone"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
