@@ -16,16 +16,17 @@ from . import common
 
 #: Rows on which costs and rejection shares are estimated. It bounds the estimate only; every rule holds for every row.
 SAMPLE_ROWS = 3000
-SYMBOLS = "$%&*#@^~<>{}[]\\="
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
+#: Character classes that mean the same to Java and to RE2.
+SYMBOLS, CAPITALS, DIGITS = r"[$%&*#@^~<>{}=\\\[\]]", "[A-ZÀ-ÖØ-Þ]", "[0-9]"
 #: Shares of a text's characters (or words, or lines) above which a rule rejects.
 LIMITS = {"symbols": 0.04, "pipes": 0.01, "exclamations": 0.04, "capitals": 0.45, "digits": 0.5, "word_length": 24.0, "distinct_words": 0.3, "repeated_lines": 0.4}
 #: Texts with fewer characters, words or lines than these are exempt from the rules on shares.
 LEAST = {"chars": 20, "words": 30, "lines": 4}
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+def _times(text: Column, char: str) -> Column:
+    """How often a character occurs."""
+    return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
 
 
 def rules(text: Column, limits: dict[str, float] = LIMITS) -> dict[str, Column]:
@@ -34,15 +35,15 @@ def rules(text: Column, limits: dict[str, float] = LIMITS) -> dict[str, Column]:
     words = F.split(text, " ", -1)
     lines = F.split(text, "\n", -1)
     return {
-        "blank": F.length(F.translate(text, " \t\r\n", "")) == 0,
-        "symbols": enough & (_without(text, SYMBOLS) > limits["symbols"] * n),
-        "pipes": enough & (_without(text, "|") > limits["pipes"] * n),
-        "exclamations": enough & (_without(text, "!") > limits["exclamations"] * n),
-        "capitals": enough & (_without(text, UPPER) > limits["capitals"] * n),
-        "digits": enough & (_without(text, "0123456789") > limits["digits"] * n),
-        "word_length": enough & (n > limits["word_length"] * (_without(text, " \t\r\n") + 1)),
-        "distinct_words": (_without(text, " ") >= LEAST["words"]) & (F.size(F.array_distinct(words)) < limits["distinct_words"] * F.size(words)),
-        "repeated_lines": (_without(text, "\n") >= LEAST["lines"]) & (F.size(lines) - F.size(F.array_distinct(lines)) > limits["repeated_lines"] * F.size(lines)),
+        "blank": ~text.rlike(r"[^ \t\r\n]"),
+        "symbols": enough & (F.regexp_count(text, F.lit(SYMBOLS)) > limits["symbols"] * n),
+        "pipes": enough & (_times(text, "|") > limits["pipes"] * n),
+        "exclamations": enough & (_times(text, "!") > limits["exclamations"] * n),
+        "capitals": enough & (F.regexp_count(text, F.lit(CAPITALS)) > limits["capitals"] * n),
+        "digits": enough & (F.regexp_count(text, F.lit(DIGITS)) > limits["digits"] * n),
+        "word_length": enough & (n > limits["word_length"] * (_times(text, " ") + _times(text, "\n") + 1)),
+        "distinct_words": (_times(text, " ") >= LEAST["words"]) & (F.size(F.array_distinct(words)) < limits["distinct_words"] * F.size(words)),
+        "repeated_lines": (_times(text, "\n") >= LEAST["lines"]) & (F.size(lines) - F.size(F.array_distinct(lines)) > limits["repeated_lines"] * F.size(lines)),
     }
 
 
@@ -104,21 +105,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_quality(docs).select("doc_id", F.length("text").cast("bigint").alias("n_chars"))
 
 
-def _sql_without(chars: str) -> str:
-    quoted = "".join({"\n": "' || chr(10) || '", "\t": "' || chr(9) || '", "\r": "' || chr(13) || '"}.get(c, c) for c in chars)
-    return f"(length(text) - length(translate(text, '{quoted}', '')))"
-
-
 def keep_sql() -> str:
     """The same decision in DuckDB SQL, over a table documents."""
     x, c = LIMITS, LEAST["chars"]
     words, lines = "string_split(text, ' ')", "string_split(text, chr(10))"
+    times = lambda char: f"(length(text) - length(replace(text, {char}, '')))"
+    found = lambda kind: f"len(regexp_extract_all(text, '{kind}'))"
+    counts = {"symbols": found(SYMBOLS), "pipes": times("'|'"), "exclamations": times("'!'"), "capitals": found(CAPITALS), "digits": found(DIGITS)}
     bad = [
-        f"length(text) = {_sql_without(' ' + chr(9) + chr(13) + chr(10))}",
-        *(f"(length(text) >= {c} AND {_sql_without(chars)} > {x[k]}::DOUBLE * length(text))" for k, chars in (("symbols", SYMBOLS), ("pipes", "|"), ("exclamations", "!"), ("capitals", UPPER), ("digits", "0123456789"))),
-        f"(length(text) >= {c} AND length(text) > {x['word_length']}::DOUBLE * ({_sql_without(' ' + chr(9) + chr(13) + chr(10))} + 1))",
-        f"({_sql_without(' ')} >= {LEAST['words']} AND len(list_distinct({words})) < {x['distinct_words']}::DOUBLE * len({words}))",
-        f"({_sql_without(chr(10))} >= {LEAST['lines']} AND len({lines}) - len(list_distinct({lines})) > {x['repeated_lines']}::DOUBLE * len({lines}))",
+        r"NOT regexp_matches(text, '[^ \t\r\n]')",
+        *(f"(length(text) >= {c} AND {n} > {x[k]}::DOUBLE * length(text))" for k, n in counts.items()),
+        f"(length(text) >= {c} AND length(text) > {x['word_length']}::DOUBLE * ({times("' '")} + {times('chr(10)')} + 1))",
+        f"({times("' '")} >= {LEAST['words']} AND len(list_distinct({words})) < {x['distinct_words']}::DOUBLE * len({words}))",
+        f"({times('chr(10)')} >= {LEAST['lines']} AND len({lines}) - len(list_distinct({lines})) > {x['repeated_lines']}::DOUBLE * len({lines}))",
     ]
     return f"text IS NOT NULL AND NOT ({' OR '.join(bad)})"
 
