@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from . import common
 
 CAPACITY = 4096
-SHARD_ITEMS, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2048, 3, 3, 5, 6
+#: Items of a shard, about; islands that evolve each; epochs, between which elites migrate; generations in each; packings of an island.
+SHARD_ITEMS, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2048, 3, 3, 10, 6
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 

@@ -34,6 +34,8 @@ def _writer(folder: str, path: str, separator: int):
                 out = fs.open_output_stream(f"{local}/{name.rpartition('/')[2]}")
             for text in batch.column(1):
                 ids = encode(text.as_py(), disallowed_special=())
+                if len(ids) and int(ids.max()) > 0xFFFF or (ids == separator).any():
+                    raise ValueError("ids must fit two bytes and not be the separator")
                 out.write(ids.astype("<u2").tobytes() + end)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(batch)), pa.array(np.arange(n, n + len(batch))), batch.column(0)], names=["file", "ordinal", "doc_id"])
             n += len(batch)
@@ -45,7 +47,8 @@ def _writer(folder: str, path: str, separator: int):
 
 def write_token_files(docs: DataFrame, tokenizer: str = TOKENIZER, separator: int = SEPARATOR) -> DataFrame:
     """Writes the ids of every text, and a separator after each, to flat files in the shared folder. Returns (file, ordinal, doc_id), a
-    written table, which says what was meant to lie where; the scan doesn't use it. Null texts are not written."""
+    written table, which says what was meant to lie where; the scan doesn't use it. Null texts are not written. Ids
+    over 65,535, or equal to the separator, raise."""
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_of(docs).alias("text")).where("text IS NOT NULL")
     folder = common.new_path(docs.sparkSession, "tokens")
     return common.materialise(rows.mapInArrow(_writer(folder, tokenizer, separator), "file string, ordinal long, doc_id long"), "token-files")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, graph
@@ -19,6 +19,9 @@ from .common import U64, mix
 SHINGLE, COORDINATES, ROWS = 3, 128, 4
 #: Jaccard similarity of the sets of word shingles from which two documents are near duplicates.
 THRESHOLD = 0.6
+#: Documents of one candidate component that are verified together. A larger component is cut into blocks of so many, and every pair of
+#: blocks is a task; so no task holds more than twice as many, and no pair is left out.
+GROUP_ROWS = 20_000
 EMPTY = U64(2**64 - 1)
 _SEEDS = mix(np.arange(1, 2 * COORDINATES + 1, dtype=U64) * U64(0xD1342543DE82EF95))
 
@@ -138,25 +141,26 @@ def group(sets: list[np.ndarray], keys: list[np.ndarray], threshold: float) -> l
 
 def _verifier(threshold: float):
     def verify(batches):
-        """Rows (c, f, r, text) sorted by c, then doc_id, f, r; c may go on in the next batch."""
+        """Rows (c, a, b, f, r, text) sorted by the first three, then doc_id, f, r; a task (c, a, b) may go on in the next batch."""
         at, sets, keys, ids = None, [], [], []
 
         def close():
             roots = group(sets, keys, threshold) if len(sets) > 1 else [0] * len(sets)
-            found = [(*ids[i], *ids[x]) for i, x in enumerate(roots) if i != x]
+            found = [(at[0], *ids[i], *ids[x]) for i, x in enumerate(roots) if i != x]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["f", "r", "to_f", "to_r"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["c", "f", "r", "to_f", "to_r"])
 
         for batch in batches:
-            data, off = common.utf8(batch.column(3))
-            c, f, r = (batch.column(i).to_pylist() for i in range(3))
+            data, off = common.utf8(batch.column(5))
+            task = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
+            f, r = batch.column(3).to_pylist(), batch.column(4).to_pylist()
             for lo, hi in common.slices(off):
                 e, bounds = shingles(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 k = bands(sketch(e, bounds))  # again, as that is less work than moving them
                 for i in range(lo, hi):
-                    if c[i] != at:
+                    if task[i] != at:
                         yield from close()
-                        at, sets, keys, ids = c[i], [], [], []
+                        at, sets, keys, ids = task[i], [], [], []
                     sets.append(np.unique(e[bounds[i - lo] : bounds[i - lo + 1]]))
                     keys.append(k[i - lo])
                     ids.append((f[i], r[i]))
@@ -185,10 +189,25 @@ def duplicates(known: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     least = keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("z")).where("a <> z").select("key", "a")
     edges = keyed.join(least, "key").where("h <> a").select("a", F.col("h").alias("b")).distinct()
     near = graph.components(edges)
-    chosen = common.materialise(reps.join(near.withColumnRenamed("node", "h"), "h").select(F.col("root").alias("c"), "f", "r", "doc_id"), "candidates")
-    texts = rows.select("f", "r", "text").join(common.small_enough(chosen, 32), ["f", "r"]).select("c", "f", "r", "text", "doc_id")
-    links = texts.repartition("c").sortWithinPartitions("c", F.col("doc_id").isNull(), "doc_id", "f", "r").drop("doc_id").mapInArrow(_verifier(threshold), "f long, r long, to_f long, to_r long")
-    return links.unionByName(copies).select("f", "r")
+    blocks = F.ceil(F.count("*").over(Window.partitionBy("c")) / GROUP_ROWS).alias("blocks")
+    chosen = reps.join(near.withColumnRenamed("node", "h"), "h").select(F.col("root").alias("c"), "f", "r", "doc_id")
+    chosen = common.materialise(chosen.select("*", blocks), "candidates")
+    texts = rows.select("f", "r", "text").join(common.small_enough(chosen, 40), ["f", "r"])
+    own = F.pmod(F.xxhash64("f", "r"), F.col("blocks")).alias("own")
+    tasks = texts.select("*", own).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    tasks = tasks.select("c", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "f", "r", "text", "doc_id")
+    tasks = tasks.repartition("c", "a", "b").sortWithinPartitions("c", "a", "b", F.col("doc_id").isNull(), "doc_id", "f", "r").drop("doc_id")
+    links = common.materialise(tasks.mapInArrow(_verifier(threshold), "c long, f long, r long, to_f long, to_r long"), "links")
+    cut = chosen.where("blocks > 1")
+    if cut.limit(1).count() == 0:
+        return links.unionByName(copies, True).select("f", "r")
+    # components in blocks: what the tasks linked is joined, and the least row of each group found anew
+    big = links.join(cut.select("c").distinct(), "c", "left_semi")
+    parts = graph.components(big.select(F.xxhash64("f", "r").alias("a"), F.xxhash64("to_f", "to_r").alias("b")))
+    members = cut.withColumn("node", F.xxhash64("f", "r")).join(parts, "node")
+    stays = members.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.f").alias("f"), F.col("k.r").alias("r"))
+    gone = members.join(stays, ["f", "r"], "left_anti").select("f", "r")
+    return links.join(cut.select("c").distinct(), "c", "left_anti").unionByName(copies, True).select("f", "r").unionByName(gone)
 
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

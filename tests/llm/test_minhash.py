@@ -44,6 +44,15 @@ def test_groups_equal_brute_force(spark, documents):
     assert pairs and len(got - want) <= 0.1 * (len(docs) - len(want)) and not want - got
 
 
+def test_large_components_are_cut_without_loss(spark, documents, odd, monkeypatch):
+    want = rows(op.deduplicate(documents).select("doc_id"))
+    monkeypatch.setattr(op, "GROUP_ROWS", 1)
+    assert rows(op.deduplicate(documents).select("doc_id")) == want
+    near = spark.createDataFrame([(100 - i, " ".join(f"w{j if j % 40 != i else -1}" for j in range(200))) for i in range(30)], "doc_id long, text string")
+    monkeypatch.setattr(op, "GROUP_ROWS", 4)
+    assert [r.doc_id for r in op.deduplicate(near).collect()] == [71]
+
+
 def signatures(words):
     e = [np.unique(np.array(w, np.uint64)) for w in words]
     bounds = np.concatenate([[0], np.cumsum([len(x) for x in e])])
