@@ -88,3 +88,28 @@ def named_paths(arguments: list[str]) -> dict[str, str]:
             raise ValueError(f"bad or repeated argument {a}")
         out[name] = path
     return out
+
+
+def read_maps(spark: SparkSession, index: str, folder: str, dims: int = 2, clip: bool = True) -> DataFrame:
+    """(position, shape, data) of the NPY files that a dense index lists: floats, axes of length 1 dropped, of so many axes, held
+    within 0..1 where asked. A listed file that isn't there, or of another shape, raises."""
+    import numpy as np
+
+    from tessella.sources.images import decode
+
+    entries = read_dense_index(spark, index)
+    files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    relate.require_same_keys(entries, files.join(entries, "file", "left_semi"), "file")
+
+    def run(frames):
+        for pdf in frames:
+            arrays = [np.squeeze(decode(bytes(c)).astype(np.float32)) for c in pdf["content"]]
+            for name, a in zip(pdf["file"], arrays):
+                if a.ndim != dims:
+                    raise ValueError(f"{name} has {a.ndim} axes where {dims} are expected")
+            out = pdf[["position"]].copy()
+            out["shape"] = [list(a.shape) for a in arrays]
+            out["data"] = [(np.clip(a, 0, 1) if clip else a).ravel() for a in arrays]
+            yield out
+
+    return entries.join(files, "file").select("position", "file", "content").mapInPandas(run, "position long, shape array<int>, data array<float>")

@@ -184,3 +184,17 @@ def test_audit_stream(spark, tmp_path):
     q.awaitTermination(60)
     got = audit.counts(spark.read.parquet(str(tmp_path / "out")), ["route"]).collect()
     assert {(r.route, r.n, r.fallbacks) for r in got} == {("high", 1, 0), ("low", 1, 1)}
+
+
+def test_maps_by_a_dense_index(spark, tmp_path):
+    (tmp_path / "maps").mkdir()
+    for i, a in enumerate((np.full((1, 2, 3), 2.0), np.zeros((2, 3)))):
+        np.save(tmp_path / "maps" / f"data_{i}.npy", a)
+    (tmp_path / "i.json").write_text(json.dumps({"0": "data_0.npy", "1": "data_1.npy"}))
+    got = tables.read_maps(spark, str(tmp_path / "i.json"), str(tmp_path / "maps")).orderBy("position").collect()
+    assert [r.shape for r in got] == [[2, 3]] * 2 and got[0].data == [1.0] * 6
+    with pytest.raises(Exception, match="axes"):
+        tables.read_maps(spark, str(tmp_path / "i.json"), str(tmp_path / "maps"), 3).count()
+    (tmp_path / "j.json").write_text(json.dumps({"0": "data_0.npy", "1": "gone.npy"}))
+    with pytest.raises(ValueError):
+        tables.read_maps(spark, str(tmp_path / "j.json"), str(tmp_path / "maps"))
