@@ -12,7 +12,7 @@ from tessella.registry import register
 from .common import q6, r6, table
 
 H = W = 8
-E = F.col("embedding")
+E = "embedding"
 _SUM = "list_sum(list_transform(range(1, 65), lambda i: {}))"
 
 

@@ -53,8 +53,8 @@ def test_tertiles_never_part_equal_values(spark):
 def test_sources_and_keys(spark):
     cohort = rows(spark, [("selected",), ("naive",), ("fallback",)], "k string")
     frozen, naive = rows(spark, [("selected",)], "k string"), rows(spark, [("selected",), ("naive",)], "k string")
-    got = relate.choose_source(cohort, "k", [("aeem", frozen), ("naive_sam2", naive)], "soft_fallback")
-    assert {r.k: r.source for r in got.collect()} == {"selected": "aeem", "naive": "naive_sam2", "fallback": "soft_fallback"}
+    got = relate.choose_source(cohort, "k", [("fine", frozen), ("naive", naive)], "soft")
+    assert {r.k: r.source for r in got.collect()} == {"selected": "fine", "naive": "naive", "fallback": "soft"}
     both = relate.with_fallback(rows(spark, [("a", None)], "k string, v long"), rows(spark, [("a", 1), ("b", 2)], "k string, v long"), "k", "v")
     assert {(r.k, r.v, r.source) for r in both.collect()} == {("a", None, "primary"), ("b", 2, "fallback")}
     with pytest.raises(ValueError, match="missing"):

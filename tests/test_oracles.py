@@ -44,3 +44,13 @@ def test_entry(spark):
 def test_names_are_unique():
     with pytest.raises(ValueError):
         registry.register("label_quality_summary")(lambda s, d: None)
+
+
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+
+    from tests.conftest import ROOT
+
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=ROOT, capture_output=True, text=True)
+    assert said.returncode == 0 and int(said.stdout.split()[0]) >= len(registry.queries())
