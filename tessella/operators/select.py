@@ -7,16 +7,47 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows up to which an order statistic is found by one sort.
+SORTED_AT_ONCE = 1_000_000
+
+
+def kth_smallest(rows: DataFrame, value: str, k: int) -> object:
+    """The value at place k (from 0) of the ascending order, exactly, nulls left out. Many rows are never sorted: approximate
+    quantiles bracket the place, counts make the bracket exact, and the rows inside go on until they are few or all equal."""
+    inside, base = rows.where(F.col(value).isNotNull()).select(F.col(value).alias("v")), 0
+    n = inside.count()
+    if not 0 <= k < n:
+        raise IndexError(f"no place {k} among {n}")
+    spread = 5e-4
+    while n > SORTED_AT_ONCE:
+        at = (k - base + 0.5) / n
+        lo, hi = inside.agg(F.percentile_approx("v", F.array(F.lit(max(at - spread, 0.0)), F.lit(min(at + spread, 1.0))), 20_000)).first()[0]
+        below, upto = inside.agg(F.count_if(F.col("v") < lo), F.count_if(F.col("v") <= hi)).first()
+        if not below <= k - base < upto:
+            spread *= 4  # the sketch missed; a wider bracket ends at the whole
+            continue
+        if lo == hi:
+            return lo
+        if upto - below == n:
+            break
+        inside, base, n = inside.where(F.col("v").between(lo, hi)), base + below, upto - below
+    return inside.orderBy("v").offset(k - base).limit(1).first()[0]
+
+
 def top_fraction(rows: DataFrame, score: str, name: str, fraction: float) -> DataFrame:
     """The rows of the highest scores (ties by name): of all rows, unscored ones included, the fraction rounded half to even, but
-    at least one and no more than are scored. ValueError if none is scored."""
+    at least one and no more than are scored. ValueError if none is scored. Rows over the last score that counts are taken by a
+    filter; only the rows of that score are sorted."""
     if not 0.0 < fraction <= 1.0:
         raise ValueError("fraction must be in (0, 1]")
     n, scored = rows.agg(F.count("*"), F.count(score)).first()
     if not scored:
         raise ValueError("no row is scored")
     k = min(max(round(n * fraction), 1), scored)
-    return rows.where(F.col(score).isNotNull()).orderBy(F.col(score).desc(), F.col(name).asc()).limit(k)
+    last = kth_smallest(rows, score, scored - k)
+    over = rows.where(F.col(score) > last)
+    ties = rows.where(F.col(score) == last)
+    return over.unionByName(ties.orderBy(F.col(name).asc()).limit(k - over.count()))
 
 
 def top_fraction_by(rows: DataFrame, group: str, score: str, name: str, fraction: float) -> DataFrame:
@@ -48,15 +79,13 @@ def at_quantile_positions(rows: DataFrame, by: list[str], order: list[Column], k
     return r.where((F.col("__n") <= k) | F.array_contains(positions, F.col("__i").cast("long"))).drop("__i", "__n")
 
 
-def tertiles(rows: DataFrame, value: str, order: list[Column], name: str = "tertile") -> DataFrame:
+def tertiles(rows: DataFrame, value: str, name: str = "tertile") -> DataFrame:
     """0, 1 or 2 by the values at places n // 3 and 2n // 3 of the order, lower cut inclusive; equal values are never parted. Null
     values have no tertile."""
-    some = rows.where(F.col(value).isNotNull())
-    n = some.count()
+    n = rows.where(F.col(value).isNotNull()).count()
     if not n:
         return rows.withColumn(name, F.lit(None).cast("int"))
-    places = some.select(value, (F.row_number().over(Window.orderBy(F.col(value), *order)) - 1).alias("__i")).where(F.col("__i").isin(n // 3, 2 * n // 3))
-    low, high = places.agg(F.min_by(value, "__i"), F.max_by(value, "__i")).first()
+    low, high = kth_smallest(rows, value, n // 3), kth_smallest(rows, value, 2 * n // 3)
     v = F.col(value)
     return rows.withColumn(name, F.when(v.isNull(), None).when(v <= low, 0).when(v <= high, 1).otherwise(2))
 

@@ -75,7 +75,7 @@ _TERTILE = "WITH r AS (SELECT event_id, value, row_number() OVER (ORDER BY value
 
 
 def _tertiles(spark, sf):
-    return select.tertiles(table(spark, sf, "events").select("event_id", "value"), "value", [F.col("event_id")])
+    return select.tertiles(table(spark, sf, "events").select("event_id", "value"), "value")
 
 
 @register("tertile_cut", f"SELECT event_id, tertile FROM ({_TERTILE})")

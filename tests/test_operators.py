@@ -46,7 +46,7 @@ def test_stratified_cohort_forces_coverage(spark):
 
 def test_tertiles_never_part_equal_values(spark):
     df = rows(spark, [(i, v) for i, v in enumerate([1.0] * 5 + [2.0] * 2 + [3.0] * 2 + [None])], "i long, v double")
-    got = {(r.v, r.tertile) for r in select.tertiles(df, "v", [F.col("i")]).collect()}
+    got = {(r.v, r.tertile) for r in select.tertiles(df, "v").collect()}
     assert got == {(1.0, 0), (2.0, 1), (3.0, 2), (None, None)}
 
 
@@ -100,5 +100,16 @@ def test_empty_tables(spark):
     assert relate.key_differences(none, none, "k").count() == 0
     assert stats.distribution(none, ["g"], "v").count() == 0
     assert select.at_quantile_positions(none, ["g"], [F.col("v")], 3).count() == 0
-    assert select.tertiles(none, "v", [F.col("k")]).count() == 0
+    assert select.tertiles(none, "v").count() == 0
     assert stats.bootstrap(none, ["g"], "k", "v").count() == 0
+
+
+@pytest.mark.parametrize("ties", [1, 400])
+def test_order_statistics_without_a_sort(spark, monkeypatch, ties):
+    v = np.random.default_rng(ties).integers(0, 20000 // ties, 20000).astype(float)
+    df = rows(spark, [(float(x),) for x in v], "v double").union(rows(spark, [(None,)] * 3, "v double"))
+    monkeypatch.setattr(select, "SORTED_AT_ONCE", 50)
+    for k in (0, 1, 6666, 13333, 19999):
+        assert select.kth_smallest(df, "v", k) == np.sort(v)[k]
+    with pytest.raises(IndexError):
+        select.kth_smallest(df, "v", 20000)
