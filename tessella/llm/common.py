@@ -20,13 +20,23 @@ SLICE_BYTES = 2 << 20
 U64 = np.uint64
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Where that is unset, as in local tests, a temporary one is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder named by spark.checkpoint.dir, with the default file system's scheme if it has none. Where it is unset, as in local
+    tests, a temporary folder of this application."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tessella-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        atexit.register(_remove_local, found)
+        if sc.applicationId not in _OWN:
+            _OWN[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="tessella-")
+            atexit.register(_remove_local, _OWN[sc.applicationId])
+        found = _OWN[sc.applicationId]
+    elif ":" not in found:
+        path = sc._jvm.org.apache.hadoop.fs.Path(found)
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        found = path.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString().replace("file:/", "file:///", 1)
     return found.rstrip("/")
 
 
