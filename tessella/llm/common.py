@@ -9,6 +9,7 @@ from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,8 +47,28 @@ def _remove_local(uri: str) -> None:
     shutil.rmtree(uri.removeprefix("file://"), ignore_errors=True)
 
 
+_MADE: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _MADE:
+        atexit.register(sweep)
+    _MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def sweep() -> None:
+    """Deletes the intermediate tables that this driver made, once results that read them are written; at exit it happens by itself, as
+    far as Spark can still be reached."""
+    from pyspark import SparkContext
+
+    sc = SparkContext._active_spark_context
+    try:
+        while _MADE and sc is not None:
+            path = sc._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    except (Py4JError, OSError):
+        pass
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -77,3 +77,12 @@ def test_slices_cover_everything():
 def test_no_local_checkpoint():
     root = Path(common.__file__).parent
     assert not any("localCheckpoint" in p.read_text() for p in root.glob("*.py"))
+
+
+def test_sweep(spark, monkeypatch):
+    monkeypatch.setattr(common, "_MADE", [])
+    common.materialise(spark.range(3), "swept")
+    path = Path(common._MADE[0].removeprefix("file://"))
+    assert path.exists()
+    common.sweep()
+    assert not path.exists() and common._MADE == []
