@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Sides of a join are broadcast up to this many bytes; beyond it the join shuffles.
 BROADCAST_LIMIT = 32 << 20
 #: Text handled at once by one numpy pass. Longer documents make a slice of their own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 U64 = np.uint64
 
 

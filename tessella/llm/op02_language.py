@@ -183,7 +183,7 @@ def _scored(docs: DataFrame, carried: DataFrame, reject_bits: float, model: Mode
         m = shipped.value
         for batch in batches:
             data, off = common.utf8(batch.column(batch.num_columns - 1))
-            total = np.concatenate([code_lengths(m, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]) for lo, hi in common.slices(off, 1 << 19)] or [np.zeros((0, len(m.languages)))])
+            total = np.concatenate([code_lengths(m, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]) for lo, hi in common.slices(off)] or [np.zeros((0, len(m.languages)))])
             size = np.diff(off)
             best = total.argmin(1) if len(total) else np.zeros(0, int)
             rate = total[np.arange(len(total)), best] / np.maximum(size, 1)

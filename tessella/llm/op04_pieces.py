@@ -300,7 +300,7 @@ def _coder(path: str):
         m = model(path)
         for batch in batches:
             _, off = common.utf8(batch.column(1))
-            for lo, hi in common.slices(off):
+            for lo, hi in common.slices(off, 2 << 20):
                 texts = batch.column(1).slice(lo, hi - lo).to_pylist()
                 coded = m.encode(texts)
                 flat = np.frombuffer(b"".join(coded), "<i4")
