@@ -21,6 +21,16 @@ SLICE_BYTES = 1 << 19
 U64 = np.uint64
 
 
+#: Bytes of text that go to a worker at once, where the session has Spark's own setting of 64 MB: buffers on either side follow it.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 _OWN: dict[str, str] = {}
 
 
@@ -82,6 +92,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def with_row_id(docs: DataFrame) -> DataFrame:
     """(doc, f, r): each row as a struct, so that no column of it can clash with ours, and a stable identity of it, equal rows
     included: file hash and row number of a scan. Any plan that isn't one scan is written to the shared folder first."""
+    bound_batches(docs.sparkSession)
     ids = (F.struct("*").alias("doc"), F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r"))
     try:
         return docs.select(*ids)

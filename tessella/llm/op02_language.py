@@ -173,6 +173,7 @@ def identify(docs: DataFrame, reject_bits: float = REJECT_BITS, model: Model | N
 def _scored(docs: DataFrame, carried: DataFrame, reject_bits: float, model: Model | None) -> DataFrame:
     """carried (anything, and last a text) without the text, but with language and bits; rejected rows are left out."""
     spark = docs.sparkSession
+    common.bound_batches(spark)
     if model is None:
         samples = labelled_sample(docs)
         if not samples:

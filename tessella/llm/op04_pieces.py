@@ -318,6 +318,7 @@ def encode_documents(docs: DataFrame, path: str = MODEL) -> DataFrame:
     Null texts have no row; an empty one has no ids. Characters that no piece covers become byte pieces where the model has them,
     else the unknown id. Repeated rows are coded each; very long texts whole; extra columns play no part; an empty table gives none.
     """
+    common.bound_batches(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_of(docs).alias("text")).where("text IS NOT NULL")
     return rows.mapInArrow(_coder(path), "doc_id long, ids array<int>, n_ids long, decoded_equal boolean")
 

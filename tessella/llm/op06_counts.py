@@ -49,6 +49,7 @@ def write_token_files(docs: DataFrame, tokenizer: str = TOKENIZER, separator: in
     """Writes the ids of every text, and a separator after each, to flat files in the shared folder. Returns (file, ordinal, doc_id), a
     written table, which says what was meant to lie where; the scan doesn't use it. Null texts are not written. Ids
     over 65,535, or equal to the separator, raise."""
+    common.bound_batches(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_of(docs).alias("text")).where("text IS NOT NULL")
     folder = common.new_path(docs.sparkSession, "tokens")
     return common.materialise(rows.mapInArrow(_writer(folder, tokenizer, separator), "file string, ordinal long, doc_id long"), "token-files")
