@@ -19,8 +19,8 @@ def norm(a: Column) -> Column:
 
 
 def unit(a: Column, eps: float = 1e-6) -> Column:
-    """Scaled to length 1; vectors shorter than eps are divided by it."""
-    return F.transform(a, lambda x: x / F.greatest(norm(a), F.lit(eps)))
+    """Scaled to length 1; vectors shorter than eps are divided by it. The length is bound once, by a list of it alone."""
+    return F.element_at(F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: x / F.greatest(n, F.lit(eps)))), 1)
 
 
 def prototypes(rows: DataFrame, by: str, vector: str) -> DataFrame:
