@@ -87,8 +87,9 @@ def _cutter(path: str):
             for i, text in enumerate(batch.column(3)):
                 ids = encode(text.as_py(), disallowed_special=())
                 at, mine = 0, []
+                flat = None if len(ids) and int(ids.max()) > 0xFFFF else ids.astype("<u2").tobytes()
                 for k, end in enumerate(cuts(len(ids), candidates(ids))):
-                    data = as_bytes(ids[at:end])
+                    data = as_bytes(ids[at:end]) if flat is None else b"\2" + flat[2 * at : 2 * end]
                     digest = hashlib.sha256(data).digest()
                     mine.append(digest)
                     rows.append(i)
