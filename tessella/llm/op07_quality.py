@@ -33,7 +33,7 @@ def rules(text: Column, limits: dict[str, float] = LIMITS) -> dict[str, Column]:
     """Name to the expression that is true for a text to reject. Text must not be null."""
     n, enough = F.length(text), F.length(text) >= LEAST["chars"]
     words = F.split(text, " ", -1)
-    lines = F.split(text, "\n", -1)
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^ \t\r]"))  # blank ones part paragraphs and repeat nothing
     return {
         "blank": ~text.rlike(r"[^ \t\r\n]"),
         "symbols": enough & (F.regexp_count(text, F.lit(SYMBOLS)) > limits["symbols"] * n),
@@ -43,7 +43,7 @@ def rules(text: Column, limits: dict[str, float] = LIMITS) -> dict[str, Column]:
         "digits": enough & (F.regexp_count(text, F.lit(DIGITS)) > limits["digits"] * n),
         "word_length": enough & (n > limits["word_length"] * (_times(text, " ") + _times(text, "\n") + 1)),
         "distinct_words": (_times(text, " ") >= LEAST["words"]) & (F.size(F.array_distinct(words)) < limits["distinct_words"] * F.size(words)),
-        "repeated_lines": (_times(text, "\n") >= LEAST["lines"]) & (F.size(lines) - F.size(F.array_distinct(lines)) > limits["repeated_lines"] * F.size(lines)),
+        "repeated_lines": (_times(text, "\n") >= LEAST["lines"]) & F.transform(F.array(lines), lambda x: (F.size(x) > LEAST["lines"]) & (F.size(x) - F.size(F.array_distinct(x)) > limits["repeated_lines"] * F.size(x)))[0],
     }
 
 

@@ -41,3 +41,22 @@ def test_odd_rows(spark, odd, none):
         assert got.columns == docs.columns
         assert sorted((r.doc_id or 0) for r in got.collect()) == [0, 1, 2, 2, 9, 10]  # 7 and 8 repeat a handful of words
     assert op.stage(spark, none, "").count() == 0
+
+
+def prose(n: int, seed: int = 1) -> list[str]:
+    """Distinct one-line paragraphs without a repeated line."""
+    rng = random.Random(seed)
+    letters = "abcdefghijklmnoprstuvw"
+    vocabulary = ["".join(rng.choices(letters, k=rng.randint(3, 9))) for _ in range(5000)]
+    return [" ".join(rng.choices(vocabulary, k=20)).capitalize() + "." for _ in range(n)]
+
+
+def kept(spark, *texts: str) -> list[int]:
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return sorted(r.doc_id for r in docs.where(op.cascade(F.col("text"), list(op.rules(F.col("text"))))).collect())
+
+
+def test_blank_lines_are_no_repeats(spark):
+    counts = (8, 9, 12, 40, 400)
+    assert kept(spark, *["\n\n".join(prose(n)) for n in counts], *["\r\n \t\r\n".join(prose(n)) for n in counts]) == list(range(10))
+    assert kept(spark, "\n\n".join(["The same line again."] * 5 + ["Another line."]), "\n" * 9 + "One line only.") == [1]
