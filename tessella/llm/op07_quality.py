@@ -22,6 +22,9 @@ SYMBOLS, CAPITALS, DIGITS = r"[$%&*#@^~<>{}=\\\[\]]", "[A-ZÀ-ÖØ-Þ]", "[0-9]"
 LIMITS = {"symbols": 0.04, "pipes": 0.01, "exclamations": 0.04, "capitals": 0.45, "digits": 0.5, "word_length": 24.0, "distinct_words": 0.3, "repeated_lines": 0.4}
 #: Texts with fewer characters, words or lines than these are exempt from the rules on shares.
 LEAST = {"chars": 20, "words": 30, "lines": 4}
+#: Distinct words are counted within windows of so many words, and sequences of so many words over the whole text: neither share
+#: falls with the length of clean prose.
+WINDOW, SEQUENCE = 1000, 8
 
 
 def _times(text: Column, char: str) -> Column:
@@ -29,10 +32,20 @@ def _times(text: Column, char: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
 
 
+def _repetitive(words: Column, limit: float) -> Column:
+    """True for words of which, of all and then within windows or as sequences, too few are distinct. Windows and sequences cover the
+    whole text; the share of all words is never above theirs by much and spares most texts the count."""
+    n = F.size(words)
+    starts = F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(WINDOW))
+    within = F.aggregate(starts, F.lit(0), lambda a, i: a + F.size(F.array_distinct(F.slice(words, i, WINDOW))))
+    long = F.transform(F.sequence(F.lit(1), F.greatest(n - (SEQUENCE - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, SEQUENCE)))
+    return (F.size(F.array_distinct(words)) < limit * n) & ((within < limit * n) | F.transform(F.array(long), lambda x: F.size(F.array_distinct(x)) < limit * F.size(x))[0])
+
+
 def rules(text: Column, limits: dict[str, float] = LIMITS) -> dict[str, Column]:
     """Name to the expression that is true for a text to reject. Text must not be null."""
     n, enough = F.length(text), F.length(text) >= LEAST["chars"]
-    words = F.split(text, " ", -1)
+    words = F.array_remove(F.split(text, " ", -1), "")
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^ \t\r]"))  # blank ones part paragraphs and repeat nothing
     return {
         "blank": ~text.rlike(r"[^ \t\r\n]"),
@@ -42,7 +55,7 @@ def rules(text: Column, limits: dict[str, float] = LIMITS) -> dict[str, Column]:
         "capitals": enough & (F.regexp_count(text, F.lit(CAPITALS)) > limits["capitals"] * n),
         "digits": enough & (F.regexp_count(text, F.lit(DIGITS)) > limits["digits"] * n),
         "word_length": enough & (n > limits["word_length"] * (_times(text, " ") + _times(text, "\n") + 1)),
-        "distinct_words": (_times(text, " ") >= LEAST["words"]) & (F.size(F.array_distinct(words)) < limits["distinct_words"] * F.size(words)),
+        "distinct_words": (_times(text, " ") >= LEAST["words"]) & F.transform(F.array(words), lambda x: (F.size(x) > LEAST["words"]) & _repetitive(x, limits["distinct_words"]))[0],
         "repeated_lines": (_times(text, "\n") >= LEAST["lines"]) & F.transform(F.array(lines), lambda x: (F.size(x) > LEAST["lines"]) & (F.size(x) - F.size(F.array_distinct(x)) > limits["repeated_lines"] * F.size(x)))[0],
     }
 

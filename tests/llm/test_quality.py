@@ -60,3 +60,17 @@ def test_blank_lines_are_no_repeats(spark):
     counts = (8, 9, 12, 40, 400)
     assert kept(spark, *["\n\n".join(prose(n)) for n in counts], *["\r\n \t\r\n".join(prose(n)) for n in counts]) == list(range(10))
     assert kept(spark, "\n\n".join(["The same line again."] * 5 + ["Another line."]), "\n" * 9 + "One line only.") == [1]
+
+
+def test_length_alone_is_no_repetition(spark):
+    rng = random.Random(2)
+    clean = " ".join(prose(7000))  # 140,000 words of a vocabulary of 5,000
+    passage = " ".join(prose(60))  # 1,200 words, more than a window
+    few = " ".join(rng.choices(clean.split(" ")[:200], k=120_000))
+    assert len(set(clean.split(" "))) < 0.3 * len(clean.split(" "))
+    assert kept(spark, clean, " ".join([passage] * 100), few, "word " * 40) == [0]
+
+
+def test_runs_of_spaces_are_no_words(spark):
+    indented = "\n".join(" " * 30 + line for line in prose(20))
+    assert kept(spark, indented, " " * 40 + "Three words only.") == [0, 1]
