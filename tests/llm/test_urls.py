@@ -46,3 +46,31 @@ def test_odd_rows(spark):
     assert got == [("1", "none"), ("2", "none"), ("3", "block"), ("3", "block"), ("None", "block"), ("None", "none")]
     assert op.apply_rules(pages.where("page_id = 99"), rules).count() == 0
     assert op.apply_rules(pages, rules.where("priority = 9")).where("verdict <> 'none'").count() == 0
+
+
+BAD = ("casino-win.", "free-bets.", "cheap-pills.", "adult-x.")
+
+
+def test_registered_rules_block_bad_pages_only(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url").toPandas().set_index("page_id")["url"]
+    got = op.query(spark, SF).toPandas().set_index("page_id")["verdict"]
+    bad = {i for i, url in pages.items() if url and any(b in url.lower() for b in BAD)}
+    assert bad and {i for i in pages.index if got[i] == "block"} == bad
+
+
+def test_registered_rules_by_case(spark):
+    want = {
+        "http://m.casino-win.example.com/de/1": "block",
+        "http://www.cheap-pills.example.com/": "block",
+        "http://casino-win.example.com/legal/terms": "allow",
+        "http://blog.site.example.com/en/1": "allow",
+        "http://site.example.net/adult/x": "block",
+        "http://site.example.org/casino/win?x=1": "block",
+        "http://site.example.org/casino/history": "allow",
+        "http://site.example.org/en/search?q=casino": "block",
+        "http://site.example.org/en/search?q=trees": "allow",
+        "http://elsewhere.test/": "none",
+    }
+    pages = spark.createDataFrame([(u, u) for u in want], "page_id string, url string")
+    rules = spark.createDataFrame(op.RULES, "expression string, action string, priority int")
+    assert {r.page_id: r.verdict for r in op.apply_rules(pages, rules).collect()} == want
