@@ -1,7 +1,7 @@
 """URL filters by hashed host-suffix and path-prefix expressions.
 
-A URL is looked up as every combination of its host, up to four shorter suffixes of it, its path with and without the query, and up
-to four prefixes of the path. Rules carry the SHA-256 of their expression. Expressions meet rules on the digest's first four bytes, then
+A URL is looked up as every combination of its host, shorter suffixes of it, its path with and without the query, and prefixes of the
+path: four of each, or as many as the deepest rule needs. Rules carry the SHA-256 of their expression. Expressions meet rules on the digest's first four bytes, then
 the whole digest confirms the match, and precedence picks one rule for a URL.
 """
 
@@ -30,10 +30,20 @@ RULES = [
     ("example.org/casino/history", "allow", 0),
     ("example.org/en/search?q=casino", "block", 0),
 ]
+#: The least numbers of shorter suffixes (of 2 labels and more) and of prefixes; deeper rules raise them. SQL has no more, which the
+#: registered rules don't need.
 SUFFIXES, PREFIXES = 4, 4
 
 
-def expressions(url: Column) -> Column:
+def depth(rules: DataFrame) -> tuple[int, int]:
+    """Numbers of host suffixes and of path prefixes with which expressions() leaves out nothing that a rule names."""
+    e = rules["expression"].cast("string")
+    host = F.substring_index(e, "/", 1)
+    labels, slashes = rules.agg(F.max(F.size(F.split(host, "[.]"))), F.max(F.length(e) - F.length(F.replace(e, F.lit("/"), F.lit(""))))).first()
+    return max(SUFFIXES, (labels or 0) - 1), max(PREFIXES, slashes or 0)
+
+
+def expressions(url: Column, suffixes: int = SUFFIXES, prefixes: int = PREFIXES) -> Column:
     """The distinct lookup expressions of a URL; null for null, none for what has no scheme or host."""
     host = F.lower(F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)", 1), r"^[.]+|[.]+$", ""))
     rest = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)", 1)
@@ -42,12 +52,12 @@ def expressions(url: Column) -> Column:
     path = F.when(path == "", F.lit("/")).otherwise(path)
     labels, parts = F.split(host, "[.]"), F.split(path, "/")
     shorter = F.filter(
-        F.transform(F.sequence(F.lit(2), F.lit(SUFFIXES + 1)), lambda n: F.when(n < F.size(labels), F.array_join(F.slice(labels, -n, n), "."))),
+        F.transform(F.sequence(F.lit(2), F.lit(suffixes + 1)), lambda n: F.when(n < F.size(labels), F.array_join(F.slice(labels, -n, n), "."))),
         lambda x: x.isNotNull(),
     )
     hosts = F.concat(F.array(host), F.when(host.rlike("^[0-9.]+$"), F.array().cast("array<string>")).otherwise(shorter))
     prefixes = F.filter(
-        F.transform(F.sequence(F.lit(0), F.lit(PREFIXES - 1)), lambda k: F.when(k <= F.size(parts) - 2, F.concat(F.array_join(F.slice(parts, F.lit(1), k + 1), "/"), F.lit("/")))),
+        F.transform(F.sequence(F.lit(0), F.lit(prefixes - 1)), lambda k: F.when(k <= F.size(parts) - 2, F.concat(F.array_join(F.slice(parts, F.lit(1), k + 1), "/"), F.lit("/")))),
         lambda x: x.isNotNull(),
     )
     paths = F.array_distinct(F.concat(F.when(query != "", F.array(F.concat(path, query))).otherwise(F.array().cast("array<string>")), F.array(path), prefixes))
@@ -60,11 +70,11 @@ def apply_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
 
     Of the rules that match, the highest priority decides, then the more host labels, the longer expression, allow over block, and
     the expression that sorts first. A null priority is 0; rules without an expression or action match nothing, and repeated rules count once. Null and
-    malformed URLs match nothing. Repeated rows are judged each on its own; extra columns play no part; very long URLs count whole.
+    malformed URLs match nothing. Repeated rows are judged each on its own; extra columns play no part; very long URLs count whole, and rules of any depth.
     """
     known = common.with_row_id(pages)
     rows = known.select("f", "r", F.col("doc.page_id").alias("page_id"), F.col("doc.url").cast("string").alias("url"))
-    keyed = rows.select("f", "r", F.explode(expressions(F.col("url"))).alias("expression")).select("f", "r", F.sha2("expression", 256).alias("digest"))
+    keyed = rows.select("f", "r", F.explode(expressions(F.col("url"), *depth(rules))).alias("expression")).select("f", "r", F.sha2("expression", 256).alias("digest"))
     keyed = keyed.withColumn("short", F.conv(F.substring("digest", 1, 8), 16, 10).cast("long"))
     listed = rules.select(rules["expression"].cast("string").alias("expression"), rules["action"].alias("action"), F.coalesce(rules["priority"], F.lit(0)).alias("priority")).where("expression IS NOT NULL AND action IS NOT NULL").distinct()
     labels = F.size(F.split(F.substring_index("expression", "/", 1), "[.]"))

@@ -74,3 +74,10 @@ def test_registered_rules_by_case(spark):
     pages = spark.createDataFrame([(u, u) for u in want], "page_id string, url string")
     rules = spark.createDataFrame(op.RULES, "expression string, action string, priority int")
     assert {r.page_id: r.verdict for r in op.apply_rules(pages, rules).collect()} == want
+
+
+def test_deep_rules_match(spark):
+    url = "http://a.b.c.d.e.f.g.h.org/1/2/3/4/5/6/x.html?q=1"
+    assert decide(spark, url, [("org/1/2/3/4/5/6/", "block", 0), ("h.org/1/2/3/4/5/6/", "block", 0)]) == ("block", "h.org/1/2/3/4/5/6/")
+    assert decide(spark, url, [("c.d.e.f.g.h.org/", "block", 0), ("h.org/", "allow", 0)]) == ("block", "c.d.e.f.g.h.org/")
+    assert decide(spark, url, [("b.c.d.e.f.g.h.org/1/2/3/4/5/", "block", 0), ("h.org/1/2/3/4/5/6/7/", "allow", 9)]) == ("block", "b.c.d.e.f.g.h.org/1/2/3/4/5/")
