@@ -2,93 +2,68 @@
 
 Two lines within an edit distance of t share at least one of t + 1 segments into which either is cut evenly, nearly in place. So every
 distinct line is entered under (length, segment number, segment) and probes, for each length within t of its own that isn't longer, the
-substrings that a segment may have become, by the multi-match-aware choice of places. Pairs that meet are verified by a bit-parallel
-edit distance that keeps to the band of 2t + 1 diagonals, many pairs advancing together.
+substrings that a segment may have become, by the multi-match-aware choice of places. Keys are native expressions that go straight into
+the exchange of the join, which sorts and so can spill. Pairs that meet are verified by a bit-parallel edit distance that keeps to the
+band of 2t + 1 diagonals, many pairs advancing together.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .common import U64, mix
+from .common import U64
 
 DISTANCE = 2
-#: Lines of fewer characters are duplicates only if equal: two edits would make other words of them.
+#: Lines of fewer characters are near duplicates within one edit less for each halving, so 1 from 8 characters; below, only if equal.
 LEAST_CHARS = 16
 
 
-def segments(length: np.ndarray, t: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(start, size) of the t + 1 even segments of lines of the given lengths; the last ones are longer by one where it doesn't divide."""
-    size, over = length // (t + 1), length % (t + 1)
-    out, start = [], np.zeros_like(length)
-    for i in range(t + 1):
-        own = size + (i >= t + 1 - over)
-        out.append((start, own))
-        start = start + own
-    return out
+def least_lengths(t: int, least_chars: int) -> dict[int, int]:
+    """Edits allowed to the fewest characters that the shorter line must have for so many."""
+    return {e: max(least_chars >> (t - e), 2 * (e + 1)) for e in range(t, 0, -1)}
 
 
-def _keys(prefix: np.ndarray, begin: np.ndarray, start: np.ndarray, size: np.ndarray, length: np.ndarray, i: int) -> np.ndarray:
-    h = common.span_hash(prefix, begin + start, begin + start + size)
-    return mix(h ^ (length.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(i + 1))).view(np.int64)
+def _cut(length: Column, e: int, i: int) -> tuple[Column, Column]:
+    """(start, size) of segment i of the e + 1 even segments of a line; the last ones are longer by one where it doesn't divide."""
+    size, over = F.floor(length / (e + 1)).cast("int"), F.pmod(length, F.lit(e + 1))
+    longer = F.greatest(F.lit(0), F.lit(i - e - 1) + over)  # of those before
+    return size * i + longer, size + F.when(over >= e + 1 - i, 1).otherwise(0)
 
 
-def index_keys(prefix: np.ndarray, begin: np.ndarray, length: np.ndarray, t: int) -> np.ndarray:
-    """The keys under which lines are entered, t + 1 each."""
-    return np.stack([_keys(prefix, begin, start, size, length, i) for i, (start, size) in enumerate(segments(length, t))], 1)
+def _key(line: Column, start: Column, size: Column, length: Column, i: int) -> Column:
+    return F.xxhash64(F.substr(line, start + 1, size), length, F.lit(i))
 
 
-def probe_keys(prefix: np.ndarray, begin: np.ndarray, length: np.ndarray, t: int) -> np.ndarray:
-    """The keys that lines look up. Places outside the line repeat the first key of the same segment, which changes nothing."""
-    out = []
-    for less in range(t + 1):
-        other = length - less
-        for i, (start, size) in enumerate(segments(other, t)):
-            for move in range(max(-i, less - (t - i)), min(i, less + (t - i)) + 1):
-                at = start + move
-                fits = (at >= 0) & (at + size <= length) & (size > 0)
-                key = _keys(prefix, begin, np.where(fits, at, 0), np.where(fits, size, 0), other, i)
-                out.append(np.where(fits, key, out[-1] if out else key))
-    return np.stack(out, 1)
+def _keys(line: Column, n: Column, t: int, least_chars: int, less: range) -> Column:
+    """Keys for the segments of lines that are shorter than this one by less: the distance depends on the shorter line's length."""
+    bounds, found = least_lengths(t, least_chars), []
+    for e, low in bounds.items():
+        for d in less:
+            if d > e:
+                continue
+            other = n - d
+            here = (other >= low) & (other < bounds[e + 1]) if e < t else other >= low
+            for i in range(e + 1):
+                start, size = _cut(other, e, i)
+                moves = range(max(-i, d - (e - i)), min(i, d + (e - i)) + 1) if len(less) > 1 else [0]
+                for move in moves:
+                    at = start + move
+                    found.append(F.when(here & (at >= 0) & (at + size <= n), _key(line, at, size, other, i)))
+    return F.array_distinct(F.array_compact(F.array(*found)))
 
 
-def _code_points(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Characters of rows and their offsets, from UTF-8."""
-    chars = np.frombuffer(data[off[0] : off[-1]].tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    leads = np.concatenate([[0], np.cumsum((data[off[0] : off[-1]] & 0xC0) != 0x80)])
-    return chars, leads[off - off[0]]
+def index_keys(line: Column, t: int = DISTANCE, least_chars: int = LEAST_CHARS) -> Column:
+    """The keys under which a line is entered: one for each of its segments."""
+    return _keys(line, F.length(line), t, least_chars, range(1))
 
 
-def _segmenter(t: int):
-    def cut(batches):
-        seen: set[int] = set()
-        for batch in batches:
-            data, off = common.utf8(batch.column(1))
-            ids = batch.column(0).to_numpy()
-            for lo, hi in common.slices(off):
-                chars, o = _code_points(data, off[lo : hi + 1])
-                fresh = []
-                for k, h in enumerate(ids[lo:hi].tolist()):
-                    if h not in seen:
-                        fresh.append(k)
-                        seen.add(h)
-                if len(seen) > 1 << 18:  # a line sent twice is only work done twice
-                    seen.clear()
-                if not fresh:
-                    continue
-                fresh = np.array(fresh)
-                begin, length = o[:-1][fresh], np.diff(o)[fresh]
-                prefix = common.prefix_hash(chars)
-                columns = []
-                for keys in (index_keys(prefix, begin, length, t), probe_keys(prefix, begin, length, t)):
-                    columns.append(pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1]), pa.int32()), pa.array(keys.ravel())))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][fresh]), *columns], names=["h", "entered", "probed"])
-
-    return cut
+def probe_keys(line: Column, t: int = DISTANCE, least_chars: int = LEAST_CHARS) -> Column:
+    """The keys that a line looks up: of lines as long as it or shorter, wherever a segment of theirs may lie in it."""
+    return _keys(line, F.length(line), t, least_chars, range(t + 1))
 
 
 def edit_distances(a: list[str], b: list[str], t: int) -> np.ndarray:
@@ -134,64 +109,81 @@ def edit_distances(a: list[str], b: list[str], t: int) -> np.ndarray:
     return out
 
 
-def _verify(t: int):
+def _verify(t: int, least_chars: int):
+    bounds = least_lengths(t, least_chars)
+
     def check(batches):
         for batch in batches:
             a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             size = np.array([max(len(x), len(y)) for x, y in zip(a, b)] or [0])
+            low = np.array([min(len(x), len(y)) for x, y in zip(a, b)], np.int64)
+            allowed = sum((low >= x).astype(np.int64) for x in bounds.values())
             good = np.zeros(len(a), bool)
             order, at = np.argsort(size, kind="stable"), 0  # lines of like length together
             while at < len(a):
                 end = at + max(1, min(4096, (4 << 20) // max(int(size[order[min(at + 4096, len(a)) - 1]]), 1)))
                 some = order[at:end]
-                good[some] = edit_distances([a[i] for i in some], [b[i] for i in some], t) <= t
+                good[some] = edit_distances([a[i] for i in some], [b[i] for i in some], t) <= allowed[some]
                 at = end
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["h", "g"]).filter(pa.array(good))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
 
     return check
 
 
-def _lines(known: DataFrame) -> DataFrame:
-    rows = common.numbered_texts(known).where("text IS NOT NULL")
-    lines = rows.select("f", "r", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return lines.where("trim(line) <> ''").withColumn("h", F.xxhash64("line"))
+def occurrences(docs: DataFrame) -> DataFrame:
+    """(h, h2, place, line) of every line that isn't blank; the hashes tell lines apart by 128 bits, places sort as judge_lines() says."""
+    rows = common.numbered_texts(common.with_row_id(docs)).where("text IS NOT NULL").withColumn("c", F.xxhash64("text"))
+    lines = rows.select("f", "r", "doc_id", "c", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where("trim(line) <> ''")
+    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "c", "line_no", "f", "r").alias("place")
+    return lines.select(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), place, "line")
+
+
+def distinct_lines(lines: DataFrame) -> DataFrame:
+    """(id, h, h2, first, n, line): each distinct line once, as a written table, with its first place and the number of them."""
+    once = lines.groupBy("h", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n"), F.first("line").alias("line"))
+    return common.materialise(once.select(F.monotonically_increasing_id().alias("id"), "h", "h2", "first", "n", "line"), "distinct-lines")
 
 
-def near_lines(lines: DataFrame, t: int = DISTANCE, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """(h, g): pairs of distinct lines within t edits, by their hashes. lines has (h, line); both have at least least_chars."""
-    assert least_chars >= 3 * (t + 1), "segments would be too short"
-    long = lines.where(F.length("line") >= least_chars).select("h", "line")
-    keys = common.materialise(long.mapInArrow(_segmenter(t), "h long, entered array<long>, probed array<long>"), "segments")
-    entered = keys.select("h", F.explode("entered").alias("key"))
-    probed = keys.select(F.col("h").alias("g"), F.explode("probed").alias("key"))
-    met = entered.hint("shuffle_hash").join(probed, "key").where("h <> g").select(F.least("h", "g").alias("h"), F.greatest("h", "g").alias("g")).distinct()
+def near_lines(once: DataFrame, t: int = DISTANCE, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """(a, b): pairs of distinct lines (id, line) within the edits allowed to their length, by their ids, a < b."""
+    entered = once.select(F.col("id").alias("a"), F.explode(index_keys(F.col("line"), t, least_chars)).alias("key"))
+    probed = once.select(F.col("id").alias("b"), F.explode(probe_keys(F.col("line"), t, least_chars)).alias("key"))
+    met = entered.hint("merge").join(probed, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     met = common.materialise(met, "met")
-    wanted = met.select("h").union(met.select("g")).distinct()
-    texts = common.materialise(long.join(common.small_enough(common.materialise(wanted, "wanted"), 16), "h").groupBy("h").agg(F.min("line").alias("line")), "met-lines")
-    pairs = met.join(texts.withColumnRenamed("line", "a"), "h").join(texts.select(F.col("h").alias("g"), F.col("line").alias("b")), "g")
-    return pairs.select("h", "g", "a", "b").mapInArrow(_verify(t), "h long, g long")
+    wanted = common.materialise(met.select(F.col("a").alias("id")).union(met.select("b")).distinct(), "wanted")
+    texts = common.materialise(once.select("id", "line").join(common.small_enough(wanted, 8), "id", "left_semi"), "met-lines")
+    pairs = met.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
+    return pairs.select("a", "b", "x", "y").mapInArrow(_verify(t, least_chars), "a long, b long")
 
 
 def judge_lines(docs: DataFrame, t: int = DISTANCE, least_chars: int = LEAST_CHARS) -> DataFrame:
     """(doc_id, line_no, verdict, of_doc_id, of_line_no) of every line that isn't blank.
 
-    Lines stand in the order of doc_id (null last), the row's place, and line number. A line is "exact" if an earlier one is equal, with the
-    first such; else "near" if an earlier distinct line is within t edits (characters inserted, deleted or replaced) and both have at
-    least least_chars characters, with the first such; else "first". A null or blank text has no line. Lines are compared whole, however
-    long, and equal ones are told by a 64-bit hash. Repeated rows repeat lines. Extra columns play no part.
+    Lines stand in the order of doc_id (null last), then by a hash of the whole text where rows share a doc_id, then by line number. A line
+    is "exact" if an earlier one is equal, with the first such; else "near" if an earlier distinct line is within the allowed edits
+    (characters inserted, deleted or replaced), with the first such; else "first". t edits are allowed if both lines have at least
+    least_chars characters, one less if half as many, and so on; see least_lengths(). A null or blank text has no line. Lines are compared
+    whole, however long, and equal ones are told by 128 bits of hash. Repeated rows repeat lines. An empty table gives an empty one.
+    Extra columns play no part.
     """
-    lines = _lines(common.with_row_id(docs))
-    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "f", "r", "line_no").alias("place")
-    found = common.materialise(lines.select("h", "f", "r", "doc_id", "line_no"), "lines")
-    near = common.materialise(near_lines(lines, t, least_chars), "near-lines")
-    firsts = found.groupBy("h").agg(F.min(place).alias("first"))
-    ends = near.unionByName(near.select(F.col("g").alias("h"), F.col("h").alias("g")))
-    earlier = ends.join(firsts.select(F.col("h").alias("g"), F.col("first").alias("other")), "g").groupBy("h").agg(F.min("other").alias("other"))
-    heads = firsts.join(earlier, "h", "left").select("h", "first", F.when(F.col("other") < F.col("first"), F.col("other")).alias("near"))
-    out = found.select("h", place).join(heads, "h")
-    verdict = F.when(F.col("place") != F.col("first"), "exact").when(F.col("near").isNotNull(), "near").otherwise("first").alias("verdict")
-    of = F.when(F.col("place") != F.col("first"), F.col("first")).otherwise(F.col("near"))
-    return out.select(F.col("place.doc_id").alias("doc_id"), F.col("place.line_no").cast("long").alias("line_no"), verdict, of["doc_id"].alias("of_doc_id"), of["line_no"].cast("long").alias("of_line_no"))
+    lines = occurrences(docs)
+    once = distinct_lines(lines)
+    near = common.materialise(near_lines(once, t, least_chars), "near-lines")
+    ends = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    places = once.select("id", "first").join(common.small_enough(common.materialise(ends.select(F.col("a").alias("id")).distinct(), "near-ids"), 8), "id", "left_semi")
+    places = common.materialise(places, "near-places")
+    earlier = ends.join(places.select(F.col("id").alias("b"), F.col("first").alias("other")), "b").groupBy(F.col("a").alias("id")).agg(F.min("other").alias("other"))
+    earlier = common.materialise(earlier, "earlier")
+    # only lines that repeat or have a neighbour need more than their own place
+    told = once.select("id", "h", "h2", "first", "n").join(common.small_enough(earlier, 64), "id", "left")
+    told = told.select("h", "h2", "first", F.when(F.col("other") < F.col("first"), F.col("other")).alias("near")).where((F.col("n") > 1) | F.col("near").isNotNull())
+    told = common.materialise(told.select("h", "h2", *(F.col(f"first.{c}").alias(c) for c in ("f", "r", "line_no")), *(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("first", "near") for c in ("doc_id", "line_no"))), "told")
+    found = lines.select("h", "h2", F.struct("place.f", "place.r", "place.line_no").alias("at"), F.col("place.doc_id").alias("doc_id"))
+    out = found.join(common.small_enough(told, 80), ["h", "h2"], "left")
+    again = F.col("first_line_no").isNotNull() & (F.col("at") != F.struct("f", "r", "line_no"))
+    verdict = F.when(again, "exact").when(F.col("near_line_no").isNotNull(), "near").otherwise("first").alias("verdict")
+    of = lambda c: F.when(again, F.col(f"first_{c}")).otherwise(F.col(f"near_{c}"))
+    return out.select("doc_id", F.col("at.line_no").cast("long").alias("line_no"), verdict, of("doc_id").alias("of_doc_id"), of("line_no").cast("long").alias("of_line_no"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
