@@ -2,20 +2,21 @@
 
 Two lines within an edit distance of t share at least one of t + 1 segments into which either is cut evenly, nearly in place. So every
 distinct line is entered under (length, segment number, segment) and probes, for each length within t of its own that isn't longer, the
-substrings that a segment may have become, by the multi-match-aware choice of places. Keys are native expressions that go straight into
-the exchange of the join, which sorts and so can spill. Pairs that meet are verified by a bit-parallel edit distance that keeps to the
-band of 2t + 1 diagonals, many pairs advancing together.
+substrings that a segment may have become, by the multi-match-aware choice of places. Keys and the lines' hashes go straight into the
+exchange of the join, where repeats from several tasks fall together before anything is joined; it sorts and so can spill. Only lines that
+meet move as texts. They are verified by a bit-parallel edit distance that keeps to the band of 2t + 1 diagonals, many pairs advancing
+together.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .common import U64
+from .common import U64, mix
 
 DISTANCE = 2
 #: Lines of fewer characters are near duplicates within one edit less for each halving, so 1 from 8 characters; below, only if equal.
@@ -27,43 +28,75 @@ def least_lengths(t: int, least_chars: int) -> dict[int, int]:
     return {e: max(least_chars >> (t - e), 2 * (e + 1)) for e in range(t, 0, -1)}
 
 
-def _cut(length: Column, e: int, i: int) -> tuple[Column, Column]:
-    """(start, size) of segment i of the e + 1 even segments of a line; the last ones are longer by one where it doesn't divide."""
-    size, over = F.floor(length / (e + 1)).cast("int"), F.pmod(length, F.lit(e + 1))
-    longer = F.greatest(F.lit(0), F.lit(i - e - 1) + over)  # of those before
-    return size * i + longer, size + F.when(over >= e + 1 - i, 1).otherwise(0)
-
-
-def _key(line: Column, start: Column, size: Column, length: Column, i: int) -> Column:
-    return F.xxhash64(F.substr(line, start + 1, size), length, F.lit(i))
+def segments(length: np.ndarray, e: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(start, size) of the e + 1 even segments of lines of the given lengths; the last ones are longer by one where it doesn't divide."""
+    size, over = length // (e + 1), length % (e + 1)
+    out, start = [], np.zeros_like(length)
+    for i in range(e + 1):
+        own = size + (i >= e + 1 - over)
+        out.append((start, own))
+        start = start + own
+    return out
 
 
-def _keys(line: Column, n: Column, t: int, least_chars: int, less: range) -> Column:
-    """Keys for the segments of lines that are shorter than this one by less: the distance depends on the shorter line's length."""
-    bounds, found = least_lengths(t, least_chars), []
+def _keys(prefix: np.ndarray, begin: np.ndarray, length: np.ndarray, t: int, least_chars: int, probing: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key) for the segments of lines as long as these or, when probing, shorter by up to t: how many edits are allowed, and so
+    segments cut, goes by the shorter line's length."""
+    bounds, rows, keys = least_lengths(t, least_chars), [], []
     for e, low in bounds.items():
-        for d in less:
-            if d > e:
+        for less in range(e + 1 if probing else 1):
+            other = length - less
+            at = np.flatnonzero((other >= low) & (other < bounds.get(e + 1, 1 << 62)))
+            if not len(at):
                 continue
-            other = n - d
-            here = (other >= low) & (other < bounds[e + 1]) if e < t else other >= low
-            for i in range(e + 1):
-                start, size = _cut(other, e, i)
-                moves = range(max(-i, d - (e - i)), min(i, d + (e - i)) + 1) if len(less) > 1 else [0]
-                for move in moves:
-                    at = start + move
-                    found.append(F.when(here & (at >= 0) & (at + size <= n), _key(line, at, size, other, i)))
-    return F.array_distinct(F.array_compact(F.array(*found)))
+            first, n, whole = begin[at], other[at], length[at]
+            for i, (start, size) in enumerate(segments(n, e)):
+                for move in range(max(-i, less - (e - i)), min(i, less + (e - i)) + 1) if probing else [0]:
+                    fits = (start + move >= 0) & (start + move + size <= whole)
+                    where = (first + start + move)[fits]
+                    h = common.span_hash(prefix, where, where + size[fits])
+                    keys.append(mix(h ^ (n[fits].astype(U64) * U64(0x9E3779B97F4A7C15) + U64(i + 1))).view(np.int64))
+                    rows.append(at[fits])
+    return (np.concatenate(rows), np.concatenate(keys)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
 
+def index_keys(prefix: np.ndarray, begin: np.ndarray, length: np.ndarray, t: int = DISTANCE, least_chars: int = LEAST_CHARS) -> tuple[np.ndarray, np.ndarray]:
+    """The keys under which lines are entered: one for each segment."""
+    return _keys(prefix, begin, length, t, least_chars, False)
 
-def index_keys(line: Column, t: int = DISTANCE, least_chars: int = LEAST_CHARS) -> Column:
-    """The keys under which a line is entered: one for each of its segments."""
-    return _keys(line, F.length(line), t, least_chars, range(1))
 
+def probe_keys(prefix: np.ndarray, begin: np.ndarray, length: np.ndarray, t: int = DISTANCE, least_chars: int = LEAST_CHARS) -> tuple[np.ndarray, np.ndarray]:
+    """The keys that lines look up: of lines as long or shorter, wherever a segment of theirs may lie."""
+    return _keys(prefix, begin, length, t, least_chars, True)
 
-def probe_keys(line: Column, t: int = DISTANCE, least_chars: int = LEAST_CHARS) -> Column:
-    """The keys that a line looks up: of lines as long as it or shorter, wherever a segment of theirs may lie in it."""
-    return _keys(line, F.length(line), t, least_chars, range(t + 1))
+
+def _code_points(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Characters of rows and their offsets, from UTF-8."""
+    chars = np.frombuffer(data[off[0] : off[-1]].tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    leads = np.concatenate([[0], np.cumsum((data[off[0] : off[-1]] & 0xC0) != 0x80)])
+    return chars, leads[off - off[0]]
+
+
+def _segmenter(t: int, least_chars: int, keys_of):
+    def cut(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            data, off = common.utf8(batch.column(1))
+            ids = batch.column(0).to_numpy()
+            for lo, hi in common.slices(off):
+                fresh = []
+                for k, h in enumerate(ids[lo:hi].tolist()):
+                    if h not in seen:
+                        fresh.append(k)
+                        seen.add(h)
+                if len(seen) > 1 << 18:  # a line sent twice is only work done twice: the exchange drops it
+                    seen.clear()
+                if fresh:
+                    chars, o = _code_points(data, off[lo : hi + 1])
+                    row, key = keys_of(common.prefix_hash(chars), o[:-1][fresh], np.diff(o)[fresh], t, least_chars)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][fresh][row]), pa.array(key)], names=["h", "key"])
+
+    return cut
 
 
 def edit_distances(a: list[str], b: list[str], t: int) -> np.ndarray:
@@ -114,7 +147,7 @@ def _verify(t: int, least_chars: int):
 
     def check(batches):
         for batch in batches:
-            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            a, b = batch.column(4).to_pylist(), batch.column(5).to_pylist()
             size = np.array([max(len(x), len(y)) for x, y in zip(a, b)] or [0])
             low = np.array([min(len(x), len(y)) for x, y in zip(a, b)], np.int64)
             allowed = sum((low >= x).astype(np.int64) for x in bounds.values())
@@ -125,7 +158,7 @@ def _verify(t: int, least_chars: int):
                 some = order[at:end]
                 good[some] = edit_distances([a[i] for i in some], [b[i] for i in some], t) <= allowed[some]
                 at = end
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
+            yield batch.select(["h", "h2", "g", "g2"]).filter(pa.array(good))
 
     return check
 
@@ -138,22 +171,26 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return lines.select(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), place, "line")
 
 
-def distinct_lines(lines: DataFrame) -> DataFrame:
-    """(id, h, h2, first, n, line): each distinct line once, as a written table, with its first place and the number of them."""
-    once = lines.groupBy("h", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n"), F.first("line").alias("line"))
-    return common.materialise(once.select(F.monotonically_increasing_id().alias("id"), "h", "h2", "first", "n", "line"), "distinct-lines")
+def keyed(lines: DataFrame, keys_of, t: int = DISTANCE, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """(h, key): the keys of every distinct line of lines (h, line), each once, parted by key."""
+    common.bound_batches(lines.sparkSession)
+    sent = lines.select("h", "line").mapInArrow(_segmenter(t, least_chars, keys_of), "h long, key long")
+    return sent.repartition("key").dropDuplicates(["key", "h"])
 
 
-def near_lines(once: DataFrame, t: int = DISTANCE, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """(a, b): pairs of distinct lines (id, line) within the edits allowed to their length, by their ids, a < b."""
-    entered = once.select(F.col("id").alias("a"), F.explode(index_keys(F.col("line"), t, least_chars)).alias("key"))
-    probed = once.select(F.col("id").alias("b"), F.explode(probe_keys(F.col("line"), t, least_chars)).alias("key"))
-    met = entered.hint("merge").join(probed, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def near_lines(lines: DataFrame, t: int = DISTANCE, least_chars: int = LEAST_CHARS) -> tuple[DataFrame, DataFrame]:
+    """For lines (h, h2, place, line): (h, h2, g, g2), pairs of distinct lines within the edits allowed to their length, either way
+    around once, and (h, h2, first, line) of the lines that were compared, both written tables."""
+    entered = keyed(lines, index_keys, t, least_chars)
+    probed = keyed(lines, probe_keys, t, least_chars).withColumnRenamed("h", "g")
+    met = entered.hint("merge").join(probed, "key").where("h <> g").select(F.least("h", "g").alias("h"), F.greatest("h", "g").alias("g")).distinct()
     met = common.materialise(met, "met")
-    wanted = common.materialise(met.select(F.col("a").alias("id")).union(met.select("b")).distinct(), "wanted")
-    texts = common.materialise(once.select("id", "line").join(common.small_enough(wanted, 8), "id", "left_semi"), "met-lines")
-    pairs = met.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-    return pairs.select("a", "b", "x", "y").mapInArrow(_verify(t, least_chars), "a long, b long")
+    wanted = common.materialise(met.select("h").union(met.select("g")).distinct(), "wanted")
+    texts = lines.join(common.small_enough(wanted, 8), "h", "left_semi").groupBy("h", "h2").agg(F.min("place").alias("first"), F.first("line").alias("line"))
+    texts = common.materialise(texts, "met-lines")
+    pairs = met.join(texts.select("h", "h2", F.col("line").alias("x")), "h").join(texts.select(F.col("h").alias("g"), F.col("h2").alias("g2"), F.col("line").alias("y")), "g")
+    near = pairs.select("h", "h2", "g", "g2", "x", "y").mapInArrow(_verify(t, least_chars), "h long, h2 long, g long, g2 long")
+    return common.materialise(near, "near-lines"), texts
 
 
 def judge_lines(docs: DataFrame, t: int = DISTANCE, least_chars: int = LEAST_CHARS) -> DataFrame:
@@ -167,15 +204,13 @@ def judge_lines(docs: DataFrame, t: int = DISTANCE, least_chars: int = LEAST_CHA
     Extra columns play no part.
     """
     lines = occurrences(docs)
-    once = distinct_lines(lines)
-    near = common.materialise(near_lines(once, t, least_chars), "near-lines")
-    ends = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    places = once.select("id", "first").join(common.small_enough(common.materialise(ends.select(F.col("a").alias("id")).distinct(), "near-ids"), 8), "id", "left_semi")
-    places = common.materialise(places, "near-places")
-    earlier = ends.join(places.select(F.col("id").alias("b"), F.col("first").alias("other")), "b").groupBy(F.col("a").alias("id")).agg(F.min("other").alias("other"))
+    near, compared = near_lines(lines, t, least_chars)
+    ends = near.unionByName(near.select(F.col("g").alias("h"), F.col("g2").alias("h2"), F.col("h").alias("g"), F.col("h2").alias("g2")))
+    earlier = ends.join(compared.select(F.col("h").alias("g"), F.col("h2").alias("g2"), F.col("first").alias("other")), ["g", "g2"]).groupBy("h", "h2").agg(F.min("other").alias("other"))
     earlier = common.materialise(earlier, "earlier")
     # only lines that repeat or have a neighbour need more than their own place
-    told = once.select("id", "h", "h2", "first", "n").join(common.small_enough(earlier, 64), "id", "left")
+    firsts = lines.groupBy("h", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    told = firsts.join(common.small_enough(earlier, 64), ["h", "h2"], "left")
     told = told.select("h", "h2", "first", F.when(F.col("other") < F.col("first"), F.col("other")).alias("near")).where((F.col("n") > 1) | F.col("near").isNotNull())
     told = common.materialise(told.select("h", "h2", *(F.col(f"first.{c}").alias(c) for c in ("f", "r", "line_no")), *(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("first", "near") for c in ("doc_id", "line_no"))), "told")
     found = lines.select("h", "h2", F.struct("place.f", "place.r", "place.line_no").alias("at"), F.col("place.doc_id").alias("doc_id"))

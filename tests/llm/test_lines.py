@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
+from tessella.llm import common
 from tessella.llm import op03_lines as op
 
 from .conftest import ROWS
@@ -39,42 +40,28 @@ def test_distances(pairs, t):
     assert op.edit_distances(list(a), list(b), t).tolist() == [min(distance(x, y), t + 1) for x, y in pairs]
 
 
-def test_pairs_within_the_distance_meet(spark):
+def test_pairs_within_the_distance_meet():
     rng = random.Random(4)
-    pairs = []
     for t in (1, 2, 3):
         for _ in range(400):
             a = "".join(rng.choice("abc") for _ in range(rng.randint(3 * (t + 1), 30)))
             b = edited(rng, a, t, "abc")
             if len(a) < len(b):
                 a, b = b, a
-            if len(b) >= 3 * (t + 1):
-                pairs.append((t, a, b))
-    for t in (1, 2, 3):
-        df = spark.createDataFrame([p[1:] for p in pairs if p[0] == t], "a string, b string")
-        least = 3 * (t + 1)
-        missed = df.where(~F.arrays_overlap(op.index_keys(F.col("b"), t, least), op.probe_keys(F.col("a"), t, least)))
-        assert missed.count() == 0 and df.count() > 100
-
-
-def test_segments_cover_a_line(spark):
-    df = spark.createDataFrame([("x" * n,) for n in range(1, 40)], "line string")
-    for e in (1, 2, 3):
-        cut = [op._cut(F.length("line"), e, i) for i in range(e + 1)]
-        for r in df.select(F.length("line"), *(c for x in cut for c in x)).collect():
-            at = 0
-            for start, size in zip(r[1::2], r[2::2]):
-                assert start == at and size in (r[0] // (e + 1), r[0] // (e + 1) + 1)
-                at += size
-            assert at == r[0]
-
-
-def test_distinct_lines_over_several_tasks(spark):
-    docs = [(k, f"a line that every document has\nline number {k % 7}\n{k} is only here") for k in range(100)]
-    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
-    once = op.distinct_lines(op.occurrences(df))
-    assert once.count() == 1 + 7 + 100 == once.select("line").distinct().count() == once.select("id").distinct().count()
-    assert once.agg(F.sum("n")).first()[0] == 300
+            if len(b) < 3 * (t + 1):
+                continue
+            p = common.prefix_hash(np.frombuffer((a + b).encode("utf-32-le"), np.uint32))
+            entered = op.index_keys(p, np.array([len(a)]), np.array([len(b)]), t, 3 * (t + 1))[1]
+            probed = op.probe_keys(p, np.array([0]), np.array([len(a)]), t, 3 * (t + 1))[1]
+            assert set(entered.tolist()) & set(probed.tolist())
+
+
+def test_a_distinct_line_is_keyed_once_over_several_tasks(spark):
+    docs = [(k, f"a line that every document has\nline number {k % 7} of seven\n{k} is only here, in this line") for k in range(100)]
+    lines = op.occurrences(spark.createDataFrame(docs, "doc_id long, text string").repartition(8))
+    entered, probed = (op.keyed(lines, keys) for keys in (op.index_keys, op.probe_keys))
+    assert entered.count() == 3 * (1 + 7 + 100) and entered.select("h").distinct().count() == 1 + 7 + 100
+    assert probed.count() == probed.distinct().count()
 
 
 def brute(docs, t=op.DISTANCE, least=op.LEAST_CHARS):
