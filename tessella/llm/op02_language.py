@@ -12,7 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -20,9 +20,14 @@ from . import common
 ORDER = 3
 #: Bound of the labelled sample: whole documents of each language, in hash order, until either is reached.
 TRAIN_DOCS, TRAIN_BYTES = 300, 1 << 19
+#: Languages that are told apart at most: those with the most labels. Labels beyond are taken for dirt.
+LANGUAGES = 64
+#: Files, spread over the listing, from which a language's sample is drawn if they hold enough of it; else all are.
+SAMPLE_FILES = 16
 #: A document is in none of the languages if under the best its code takes more than so many bits a byte, and these besides, so that
-#: a few unusual bytes don't decide on a short one.
-REJECT_BITS, REJECT_SLACK = 6.5, 128
+#: a few unusual bytes don't decide on a short one. Prose takes 2 to 3 bits under its own language; encoded data and other scripts
+#: take 6 and more under any.
+REJECT_BITS, REJECT_SLACK = 4.5, 256
 
 
 class Model(NamedTuple):
@@ -128,30 +133,36 @@ def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndar
     return out
 
 
-def labelled_sample(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES, seed: int = 11) -> dict[str, list[bytes]]:
-    """Whole texts of each labelled language, at most about train_docs or train_bytes of them (the document that passes the bound is
-    in). Of many files, some are read, if those hold enough of every language."""
-    rows = docs.select(F.col("lang").cast("string").alias("x"), common.text_of(docs).alias("t"), F.xxhash64("doc_id", F.lit(seed)).alias("k"))
-    rows = rows.where("x IS NOT NULL AND t IS NOT NULL AND t <> ''")
-    counts = {r[0]: r[1] for r in docs.groupBy(F.col("lang").cast("string")).count().collect() if r[0] is not None}
-    part = common.spread(docs, 16)
-    if part is not docs:
-        few = {r[0]: r[1] for r in part.groupBy(F.col("lang").cast("string")).count().collect()}
-        if all(few.get(x, 0) >= min(n, 2 * train_docs) for x, n in counts.items()):
-            counts = {x: few[x] for x in counts}
-            rows = part.select(F.col("lang").cast("string").alias("x"), common.text_of(part).alias("t"), F.xxhash64("doc_id", F.lit(seed)).alias("k")).where("x IS NOT NULL AND t IS NOT NULL AND t <> ''")
-    share = None
-    for x, n in counts.items():
-        test = (F.col("x") == x) & (F.pmod("k", F.lit(1 << 20)) < min(1 << 20, (train_docs << 20) // n + 1))
-        share = test if share is None else share | test
+def labelled_sample(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES, seed: int = 11, languages: int = LANGUAGES, files: int = SAMPLE_FILES) -> dict[str, list[bytes]]:
+    """Whole texts of each labelled language, train_docs or train_bytes of them (the document that passes the bound is in), or all if
+    there are fewer.
+
+    Rows are drawn in the order of a hash of doc_id, text and place in the file, so that null or equal ids don't matter, nor where the table
+    lies. Only rows with a text that isn't empty count. Of many files, some are read for the languages of which those hold enough, all for
+    the others. The bound in bytes is applied before anything goes to the driver. No labels give no sample.
+    """
+    label = docs["lang"].cast("string")
+    most = docs.groupBy(label.alias("x")).count().where("x IS NOT NULL").orderBy(F.desc("count"), "x").limit(languages).collect()
+    counts = {r[0]: r[1] for r in most}
+    part = common.spread(docs, files)
+    found: dict[str, list[bytes]] = {}
+    if part is not docs and counts:
+        found = {x: t for x, t in _drawn(part, list(counts), train_docs, train_bytes, seed).items() if len(t) >= min(train_docs, counts[x]) or sum(map(len, t)) >= train_bytes}
+    rest = [x for x in counts if x not in found]
+    return found | (_drawn(docs, rest, train_docs, train_bytes, seed) if rest else {})
+
+
+def _drawn(docs: DataFrame, languages: list[str], train_docs: int, train_bytes: int, seed: int) -> dict[str, list[bytes]]:
+    known = common.with_row_id(docs).select("f", "r", F.col("doc.lang").cast("string").alias("x"), F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").cast("string").alias("t"))
+    known = known.where(F.col("x").isin(languages) & (F.col("t") != ""))
+    rank = F.row_number().over(Window.partitionBy("x").orderBy("k", "r", "f"))
+    drawn = known.select("x", "f", "r", F.xxhash64("doc_id", "t", "r", F.lit(seed)).alias("k"), F.octet_length("t").alias("size")).withColumn("rank", rank).where(F.col("rank") <= train_docs)
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("x").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    drawn = drawn.withColumn("before", before).where(F.col("before") < train_bytes).select("f", "r", "rank")
+    chosen = known.join(F.broadcast(drawn), ["f", "r"]).select("x", "rank", "t")  # at most train_docs rows a language
     out: dict[str, list[bytes]] = {}
-    if share is None:
-        return out
-    size: dict[str, int] = {}
-    for x, t, _ in sorted(rows.where(share).collect(), key=lambda r: (r[0], r[2], r[1])):
-        if size.get(x, 0) < train_bytes and len(out.get(x, ())) < train_docs:
-            out.setdefault(x, []).append(t.encode())
-            size[x] = size.get(x, 0) + len(out[x][-1])
+    for x, _, t in sorted(chosen.collect()):
+        out.setdefault(x, []).append(t.encode())
     return out
 
 
@@ -180,6 +191,7 @@ def _scored(docs: DataFrame, carried: DataFrame, reject_bits: float, model: Mode
             return carried.drop("text").withColumns({"language": F.lit(None).cast("string"), "bits": F.lit(None).cast("double")})
         model = train(samples)
     shipped = spark.sparkContext.broadcast(model)
+
     def score(batches):
         m = shipped.value
         for batch in batches:
@@ -198,8 +210,10 @@ def _scored(docs: DataFrame, carried: DataFrame, reject_bits: float, model: Mode
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of docs in one of its languages, columns unchanged; text passes through the scoring, so nothing is joined."""
-    return identify(docs).select("doc.*")
+    """Rows of docs in one of its languages; where lang is null it gets the language found, all else is unchanged. Text passes through the
+    scoring, so nothing is joined."""
+    label = F.coalesce(F.col("doc.lang").cast("string"), F.col("language")).cast(docs.schema["lang"].dataType)
+    return identify(docs).select(F.col("doc").withField("lang", label).alias("doc")).select("doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

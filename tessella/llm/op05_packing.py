@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -42,8 +42,8 @@ def _counter(path: str):
     def count(batches):
         encode = encoding(path).encode_to_numpy
         for batch in batches:
-            n = pa.array([len(encode(t, disallowed_special=())) for t in (x.as_py() for x in batch.column(3))], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], n], names=["f", "r", "doc_id", "n"])
+            n = pa.array([len(encode(t, disallowed_special=())) for t in (x.as_py() for x in batch.column(2))], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], n], names=["c", "doc_id", "n"])
 
     return count
 
@@ -115,7 +115,7 @@ def evolve(lengths: np.ndarray, population: list[np.ndarray], capacity: int, gen
 
 def _founders(capacity: int, islands: int, population: int):
     def found(pdf: pd.DataFrame) -> pd.DataFrame:
-        lengths = pdf.sort_values(["f", "r", "piece"])["length"].to_numpy(np.int64)
+        lengths = pdf.sort_values(["c", "k", "piece"])["length"].to_numpy(np.int64)
         shard, rows = int(pdf["shard"].iloc[0]), []
         for island in range(islands):
             rng = np.random.default_rng([shard, island])
@@ -157,10 +157,13 @@ def _epoch(capacity: int, generations: int, epoch: int):
 
 
 def items(docs: DataFrame, capacity: int, tokenizer: str) -> DataFrame:
-    """(f, r, doc_id, n): every row of docs with a text, and its tokens with the separator."""
-    rows = common.numbered_texts(common.with_row_id(docs)).where("text IS NOT NULL")
-    counted = rows.mapInArrow(_counter(tokenizer), "f long, r long, doc_id long, n long")
-    return common.materialise(counted.withColumn("n", F.col("n") + 1), "lengths")
+    """(c, k, doc_id, n): every row of docs with a text, and its tokens with the separator. c is a hash of doc_id and text and k numbers the
+    rows that share it; such rows are equal in all that counts here, so the table's name and files have no bearing on the packing."""
+    common.bound_batches(docs.sparkSession)
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_of(docs).alias("text")).where("text IS NOT NULL")
+    counted = rows.select(F.xxhash64("doc_id", "text").alias("c"), "doc_id", "text").mapInArrow(_counter(tokenizer), "c long, doc_id long, n long")
+    k = F.row_number().over(Window.partitionBy("c").orderBy("doc_id", "n")).cast("long").alias("k")
+    return common.materialise(counted.select("c", k, "doc_id", (F.col("n") + 1).alias("n")), "lengths")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, shard_items: int = SHARD_ITEMS) -> DataFrame:
@@ -168,24 +171,24 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER,
 
     A null text has no tokens and isn't packed; an empty one is its separator. A text longer than a bin is cut, each full piece
     a bin of its own. Repeated rows are packed each on its own (doc_id then doesn't tell them apart, the bins do). An empty table
-    gives an empty one. Other columns play no part. The packing is the same on every run over the same files.
+    gives an empty one. Other columns play no part. The packing is the same on every run over the same rows, wherever they lie.
     """
     counted = items(docs, capacity, tokenizer)
     whole = F.expr(f"n div {capacity}")
     pieces = counted.withColumn("piece", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {capacity}"))))
-    pieces = pieces.select("f", "r", "doc_id", F.col("piece").cast("long").alias("piece"), (F.col("piece") < whole).alias("full"), F.when(F.col("piece") < whole, F.lit(capacity)).otherwise(F.col("n") % capacity).cast("long").alias("length"))
+    pieces = pieces.select("c", "k", "doc_id", F.col("piece").cast("long").alias("piece"), (F.col("piece") < whole).alias("full"), F.when(F.col("piece") < whole, F.lit(capacity)).otherwise(F.col("n") % capacity).cast("long").alias("length"))
     start = (F.col("piece") * capacity).alias("start")
-    full = pieces.where("full").select("doc_id", "piece", start, "length", F.concat_ws("-", F.lit("f"), "f", "r", "piece").alias("bin"))
+    full = pieces.where("full").select("doc_id", "piece", start, "length", F.concat_ws("-", F.lit("f"), "c", "k", "piece").alias("bin"))
     count = counted.where(f"n % {capacity} <> 0").count()
     shards = max(1, -(-count // shard_items))
-    rest = pieces.where("NOT full").withColumn("shard", F.pmod(F.xxhash64("f", "r"), F.lit(shards)))
+    rest = pieces.where("NOT full").withColumn("shard", F.pmod(F.xxhash64("c", "k"), F.lit(shards)))
     state = common.materialise(rest.groupBy("shard").applyInPandas(_founders(capacity, ISLANDS, POPULATION), _STATE), "islands")
     for epoch in range(EPOCHS):
         elite = state.select("shard", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.expr("slice(population, 1, size(lengths))").alias("elite"))
         joined = state.join(elite, ["shard", "island"]) if epoch else state.withColumn("elite", F.lit(None).cast("array<int>"))
         state = common.materialise(joined.repartition("shard", "island").mapInPandas(_epoch(capacity, GENERATIONS, epoch), _STATE), "islands")
     best = state.groupBy("shard").agg(F.max_by(F.expr("slice(population, 1, size(lengths))"), F.struct("fitness", -F.col("island"))).alias("bins"))
-    members = rest.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("f", "r", "piece", "doc_id", "length"))).alias("members"))
+    members = rest.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("c", "k", "piece", "doc_id", "length"))).alias("members"))
     packed = members.join(best, "shard").select("shard", F.explode(F.arrays_zip("members", "bins")).alias("x"))
     packed = packed.select(F.col("x.members.doc_id").alias("doc_id"), F.col("x.members.piece").alias("piece"), (F.col("x.members.piece") * capacity).alias("start"), F.col("x.members.length").alias("length"), F.concat_ws("-", F.lit("s"), "shard", "x.bins").alias("bin"))
     return packed.unionByName(full)

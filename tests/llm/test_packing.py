@@ -2,7 +2,7 @@ import numpy as np
 
 from tessella.llm import op05_packing as op
 
-from .conftest import ROWS
+from .conftest import ROWS, rows
 
 
 def test_every_token_is_packed_once(spark, documents):
@@ -66,3 +66,12 @@ def test_odd_rows(odd, none):
         assert got[got["doc_id"] == 4]["length"].tolist() == [1] and (got["doc_id"] == 7).sum() > 10
         assert got["doc_id"].isna().sum() == 1
     assert op.pack(none).count() == 0
+
+
+def test_the_folder_has_no_bearing(spark, documents, odd, tmp_path):
+    for k, docs in enumerate((documents.limit(150), odd[0])):
+        paths = [str(tmp_path / f"{k}{x}") for x in "ab"]
+        docs.coalesce(2).write.parquet(paths[0])
+        spark.read.parquet(paths[0]).repartition(3).write.parquet(paths[1])
+        a, b = (op.pack(spark.read.parquet(p)) for p in paths)
+        assert rows(a) == rows(b)
