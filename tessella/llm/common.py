@@ -13,6 +13,7 @@ from py4j.protocol import Py4JError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 #: Sides of a join are broadcast up to this many bytes; beyond it the join shuffles.
 BROADCAST_LIMIT = 32 << 20
@@ -35,11 +36,13 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, with the default file system's scheme if it has none. Where it is unset, as in local
-    tests, a temporary folder of this application."""
+    """The folder named by spark.checkpoint.dir, with the default file system's scheme if it has none. Where it is unset, a temporary folder
+    of this application on a local master, as in tests; on a cluster that raises, as no executor's own disk is shared."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if sc.applicationId not in _OWN:
             _OWN[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="tessella-")
             atexit.register(_remove_local, _OWN[sc.applicationId])
@@ -100,6 +103,18 @@ def with_row_id(docs: DataFrame) -> DataFrame:
         return materialise(docs, "rows").select(*ids)
 
 
+def _hashable(kind: DataType) -> bool:
+    parts = [f.dataType for f in kind.fields] if isinstance(kind, StructType) else [kind.elementType] if isinstance(kind, ArrayType) else []
+    return not isinstance(kind, (MapType, VariantType)) and all(map(_hashable, parts))
+
+
+def content_hash(known: DataFrame) -> Column:
+    """A hash of all that is in a row with an identity (but maps), by which ties go before they go by place: rows that it doesn't tell apart
+    are equal, so the table's folder and files have no bearing on a result."""
+    names = ["doc.`" + f.name.replace("`", "``") + "`" for f in known.schema["doc"].dataType.fields if _hashable(f.dataType)]
+    return F.expr(f"xxhash64({', '.join(names)})") if names else F.lit(0).cast("long")
+
+
 def numbered_texts(known: DataFrame) -> DataFrame:
     """(f, r, doc_id, text) from rows with identities; nulls are still there."""
     return known.select("f", "r", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").cast("string").alias("text"))

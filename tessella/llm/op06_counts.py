@@ -20,6 +20,8 @@ from . import common
 from .op05_packing import TOKENIZER, encoding
 
 SEPARATOR, BLOCK_BYTES = 50256, 4 << 20
+#: Blocks that a task scans, about: tasks are told by the bytes in the files, which rows that only name blocks don't show.
+TASK_BLOCKS = 16
 
 
 def _writer(folder: str, path: str, separator: int):
@@ -47,8 +49,9 @@ def _writer(folder: str, path: str, separator: int):
 
 def write_token_files(docs: DataFrame, tokenizer: str = TOKENIZER, separator: int = SEPARATOR) -> DataFrame:
     """Writes the ids of every text, and a separator after each, to flat files in the shared folder. Returns (file, ordinal, doc_id), a
-    written table, which says what was meant to lie where; the scan doesn't use it. Null texts are not written. Ids
-    over 65,535, or equal to the separator, raise."""
+    written table, which says what was meant to lie where; the scan doesn't use it. Null texts are not
+    written; an empty one is a separator alone; repeated rows are written each, very long texts whole; rows with the same or no doc_id are
+    told by their place; an empty table writes nothing. Ids over 65,535, or equal to the separator, raise."""
     common.bound_batches(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_of(docs).alias("text")).where("text IS NOT NULL")
     folder = common.new_path(docs.sparkSession, "tokens")
@@ -67,29 +70,34 @@ def _sizes(frames):
 def _scanner(separator: int, block_bytes: int):
     def scan(frames):
         for pdf in frames:
-            rows = []
             for name, block in zip(pdf["file"], pdf["block"]):
                 fs, local = pafs.FileSystem.from_uri(name)
                 with fs.open_input_file(local) as f:
                     ids = np.frombuffer(f.read_at(min(block_bytes, f.size() - block * block_bytes) & ~1, block * block_bytes), "<u2")
                 at = np.flatnonzero(ids == separator) + block * (block_bytes // 2)
-                rows.append((name, block, len(ids), at, len(at), int(at[-1]) if len(at) else None))
-            out = pd.DataFrame(rows, columns=["file", "block", "ids", "at", "n", "last"])
-            yield out.astype({"last": "Int64"})
+                row = (name, block, len(ids), at, len(at), int(at[-1]) if len(at) else None)
+                yield pd.DataFrame([row], columns=["file", "block", "ids", "at", "n", "last"]).astype({"last": "Int64"})
 
     return scan
 
 
+def blocks_of(files: DataFrame, block_bytes: int) -> DataFrame:
+    """(file, block) of every block of the files, each file once, in as many partitions as their bytes call for."""
+    sized = files.select("file").where("file IS NOT NULL").distinct().mapInPandas(_sizes, "file string, size long").where("size >= 2")
+    sized = common.materialise(sized, "file-sizes")
+    tasks = max(1, -(-(sized.agg(F.sum("size")).first()[0] or 0) // (block_bytes * TASK_BLOCKS)))
+    return sized.select("file", F.explode(F.sequence(F.lit(0), F.expr(f"(size - 1) div {block_bytes}"))).alias("block")).repartition(tasks, "file", "block")
+
+
 def count_tokens(files: DataFrame, separator: int = SEPARATOR, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """files (file) to (file, ordinal, n_tokens, closed): every document of every file, in order from 0.
 
     Two separators in a row hold a document of no tokens. Ids after the last separator are one more document, which is not closed. A
-    file of no ids has no document, and an odd last byte is no id. A file named twice is read once.
+    file of no ids has no document, and an odd last byte is no id. A file named twice is read once, a null name not at all; no files
+    give no rows.
     """
     assert block_bytes % 2 == 0
-    sized = files.select("file").where("file IS NOT NULL").distinct().mapInPandas(_sizes, "file string, size long")
-    blocks = sized.where("size >= 2").select("file", F.explode(F.sequence(F.lit(0), F.expr(f"(size - 1) div {block_bytes}"))).alias("block"))
-    blocks = blocks.repartition("file", "block").mapInPandas(_scanner(separator, block_bytes), "file string, block long, ids long, at array<long>, n long, last long")
+    blocks = blocks_of(files, block_bytes).mapInPandas(_scanner(separator, block_bytes), "file string, block long, ids long, at array<long>, n long, last long")
     found = common.materialise(blocks, "separators")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     scan = found.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.coalesce(F.max("last").over(before), F.lit(-1)).alias("open"))

@@ -1,26 +1,28 @@
 """Exact dedup by an exchange of Golomb-coded fingerprints.
 
-Rows have a 64-bit fingerprint of their text. Each sender (a block of rows of one file) sorts its fingerprints and sends every
-owner of a range of fingerprints a Golomb code of the gaps, about two bits more than the entropy, in place of the fingerprints.
-An owner decodes what it got and answers each sender with a bitmap of those that another sender, or the same one twice, has too.
-Only the texts of those suspects move, and are compared byte by byte.
+Rows have a 64-bit fingerprint of their text, kept in a written table. Each sender, some files of it, is read where it is coded: it sorts
+its fingerprints and sends every owner of a range of fingerprints a Golomb code of the gaps, about two bits more than the entropy, in place
+of the fingerprints. An owner decodes what it got and answers each sender with a bitmap of those that another sender, or the same one
+twice, has too; the sender reads its files again and names those rows. So fingerprints cross no exchange but as codes. Only the texts of
+those suspects move, and are compared byte by byte.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Rows of one file that are one sender; bounds what a sender or the code for an owner holds, whatever the file's size.
+#: Rows of a sender, about, and at most those of a file of the table of fingerprints.
 SENDER_ROWS = 1 << 19
 #: Fingerprints that an owner gets, about, and so how many owners there are.
-OWNER_ROWS = 1 << 18
-#: Owners at most, so that a full sender's code for one still holds enough fingerprints to be worth a message.
-MOST_OWNERS = SENDER_ROWS // 64
+OWNER_ROWS = 1 << 20
 
 
 def golomb_encode(sorted_values: np.ndarray, span: int) -> tuple[bytes, int]:
@@ -36,7 +38,9 @@ def golomb_encode(sorted_values: np.ndarray, span: int) -> tuple[bytes, int]:
     unary = np.ones(int(q.sum()) + n, np.uint8)
     unary[np.cumsum(q + 1) - 1] = 0
     low = gaps & np.uint64((1 << bits) - 1)
-    binary = ((low[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
+    binary = np.empty((n, bits), np.uint8)
+    for i in range(bits):
+        binary[:, i] = (low >> np.uint64(i)) & np.uint64(1)
     return np.packbits(np.concatenate([unary, binary.ravel()])).tobytes(), bits
 
 
@@ -46,25 +50,38 @@ def golomb_decode(code: bytes, n: int, bits: int) -> np.ndarray:
     stream = np.unpackbits(np.frombuffer(code, np.uint8))
     ends = np.flatnonzero(stream == 0)[:n]
     q = np.diff(ends, prepend=-1) - 1
-    low = stream[ends[-1] + 1 :][: n * bits].reshape(n, bits).astype(np.uint64)
-    gaps = (q.astype(np.uint64) << np.uint64(bits)) | (low << np.arange(bits, dtype=np.uint64)).sum(1, dtype=np.uint64)
+    low = stream[ends[-1] + 1 :][: n * bits].reshape(n, bits)
+    gaps = q.astype(np.uint64) << np.uint64(bits)
+    for i in range(bits):
+        gaps |= low[:, i].astype(np.uint64) << np.uint64(i)
     gaps[1:] += np.uint64(1)
     return np.cumsum(gaps, dtype=np.uint64)
 
 
+def _rows_of(files: list[str]) -> tuple[np.ndarray, ...]:
+    """f, r and fp of a sender's files, in their order."""
+    parts = []
+    for name in files:
+        fs, local = pafs.FileSystem.from_uri(name)
+        parts.append(pq.read_table(local, columns=["f", "r", "fp"], filesystem=fs))
+    table = pa.concat_tables(parts)
+    return tuple(table.column(i).to_numpy() for i in range(3))
+
+
 def _send(owners: int):
     span = -(-(2**64) // owners)
 
-    def send(pdf: pd.DataFrame) -> pd.DataFrame:
-        value, count = np.unique(pdf["fp"].to_numpy().view(np.uint64), return_counts=True)
-        owner = (value // np.uint64(span)).astype(np.int64) if owners > 1 else np.zeros(len(value), np.int64)
-        rows = []
-        cut = np.searchsorted(owner, np.arange(owners + 1))
-        for o in np.flatnonzero(np.diff(cut)).tolist():
-            lo, hi = cut[o], cut[o + 1]
-            code, bits = golomb_encode(value[lo:hi] - np.uint64(o * span), span)
-            rows.append((pdf["f"].iloc[0], pdf["s"].iloc[0], int(o), int(hi - lo), bits, code, np.packbits(count[lo:hi] > 1).tobytes()))
-        return pd.DataFrame(rows, columns=["f", "s", "o", "n", "bits", "code", "twice"])
+    def send(frames):
+        for pdf in frames:
+            for s, files in zip(pdf["s"], pdf["files"]):
+                value, count = np.unique(_rows_of(files)[2].view(np.uint64), return_counts=True)
+                owner = (value // np.uint64(span)).astype(np.int64) if owners > 1 else np.zeros(len(value), np.int64)
+                cut, rows = np.searchsorted(owner, np.arange(owners + 1)), []
+                for o in np.flatnonzero(np.diff(cut)).tolist():
+                    lo, hi = cut[o], cut[o + 1]
+                    code, bits = golomb_encode(value[lo:hi] - np.uint64(o * span), span)
+                    rows.append((s, int(o), int(hi - lo), bits, code, np.packbits(count[lo:hi] > 1).tobytes()))
+                yield pd.DataFrame(rows, columns=["s", "o", "n", "bits", "code", "twice"])
 
     return send
 
@@ -77,33 +94,43 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     repeated = count > 1
     np.logical_or.at(repeated, inverse, np.concatenate(twice))
     flags = np.split(repeated[inverse], np.cumsum([len(p) for p in parts])[:-1])
-    return pd.DataFrame({"f": pdf["f"], "s": pdf["s"], "o": pdf["o"], "bitmap": [np.packbits(x).tobytes() for x in flags], "n": pdf["n"]})
+    return pd.DataFrame({"s": pdf["s"], "o": pdf["o"], "bitmap": [np.packbits(x).tobytes() for x in flags], "n": pdf["n"]})
 
 
-def _suspects(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-    if not len(rows):
-        return rows[["f", "r", "fp"]]
-    value, inverse = np.unique(rows["fp"].to_numpy().view(np.uint64), return_inverse=True)
-    answers = answers.sort_values("o")
-    flags = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8))[:n] for b, n in zip(answers["bitmap"], answers["n"])]).astype(bool)
-    return rows.loc[flags[inverse], ["f", "r", "fp"]]
+def _suspects(frames):
+    for pdf in frames:
+        for files, answers in zip(pdf["files"], pdf["answers"]):
+            f, r, fp = _rows_of(files)
+            inverse = np.unique(fp.view(np.uint64), return_inverse=True)[1]
+            parts = sorted((a["o"], a["bitmap"], a["n"]) for a in answers)
+            flags = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8))[:n] for _, b, n in parts]).astype(bool)
+            some = flags[inverse]
+            yield pd.DataFrame({"f": f[some], "r": r[some], "fp": fp[some]})
 
 
 def exchange(prints: DataFrame) -> DataFrame:
     """Rows (f, r, fp) to those whose fp occurs more than once. (f, r) is a row's identity."""
-    rows = common.materialise(prints.select("f", "r", "fp", F.expr(f"r div {SENDER_ROWS}").alias("s")), "fingerprints")
-    owners = min(max(1, rows.count() // OWNER_ROWS), MOST_OWNERS)
-    codes = rows.groupBy("f", "s").applyInPandas(_send(owners), "f long, s long, o long, n long, bits int, code binary, twice binary")
-    answers = codes.groupBy("o").applyInPandas(_answer, "f long, s long, o long, bitmap binary, n long")
-    return rows.groupBy("f", "s").cogroup(answers.groupBy("f", "s")).applyInPandas(_suspects, "f long, r long, fp long")
+    spark = prints.sparkSession
+    path = common.new_path(spark, "fingerprints")
+    prints.select("f", "r", "fp").write.option("maxRecordsPerFile", SENDER_ROWS).parquet(path)
+    rows = spark.read.schema("f long, r long, fp long").parquet(path)
+    n = rows.count()
+    senders, owners = max(1, -(-n // SENDER_ROWS)), max(1, -(-n // OWNER_ROWS))
+    files = rows.select(F.col("_metadata.file_path").alias("file")).distinct()
+    sender = F.pmod(F.hash("file"), F.lit(senders)).cast("long").alias("s")
+    named = common.materialise(files.groupBy(sender).agg(F.sort_array(F.collect_list("file")).alias("files")), "senders")
+    codes = named.repartition(senders, "s").mapInPandas(_send(owners), "s long, o long, n long, bits int, code binary, twice binary")
+    answers = codes.repartition(owners, "o").groupBy("o").applyInPandas(_answer, "s long, o long, bitmap binary, n long")
+    told = answers.groupBy("s").agg(F.collect_list(F.struct("o", "bitmap", "n")).alias("answers"))
+    return named.join(told, "s").repartition(senders, "s").mapInPandas(_suspects, "f long, r long, fp long")
 
 
 def copies(known: DataFrame) -> DataFrame:
     """(f, r, n) of the rows whose fingerprint another row has: n is the number of rows with just this text for the one that stays (of
-    the least doc_id, null last, then by the row's place), null for those that go. rows come with identities."""
-    rows = common.numbered_texts(known).where("text IS NOT NULL")
+    the least doc_id, null last, then by a hash of the whole row), null for those that go. rows come with identities."""
+    rows = known.select("f", "r", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").cast("string").alias("text"), common.content_hash(known).alias("c")).where("text IS NOT NULL")
     suspects = common.materialise(exchange(rows.select("f", "r", F.xxhash64("text").alias("fp"))), "suspects")
-    texts = rows.join(common.small_enough(suspects, 24), ["f", "r"]).select("fp", "text", F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "f", "r").alias("k"))
+    texts = rows.join(common.small_enough(suspects, 24), ["f", "r"]).select("fp", "text", F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "c", "f", "r").alias("k"))
     # bytes are compared as the grouping key; partial aggregation collapses a hot text within each task first
     groups = texts.groupBy("fp", "text").agg(F.min("k").alias("k"), F.count("*").alias("n"))
     winners = groups.select(F.col("k.f").alias("f"), F.col("k.r").alias("r"), "n")
@@ -113,8 +140,8 @@ def copies(known: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of docs but for all save one of those with the same text byte by byte; all columns, extra ones included.
 
-    Null texts are not equal to each other: all such rows stay; empty texts are equal. Ties of doc_id and wholly repeated rows go by
-    the row's place, so that one stays. Texts are compared whole; an empty table stays empty.
+    Null texts are not equal to each other: all such rows stay; empty texts are equal. Ties of doc_id go by a hash of the
+    row, and of wholly repeated rows one stays. Texts are compared whole; an empty table stays empty.
     """
     known = common.with_row_id(docs)
     return common.without(known, common.materialise(copies(known), "copies").where("n IS NULL").select("f", "r"))

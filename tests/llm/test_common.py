@@ -3,6 +3,8 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from tessella.llm import common
 
@@ -86,3 +88,18 @@ def test_sweep(spark, monkeypatch):
     assert path.exists()
     common.sweep()
     assert not path.exists() and common._MADE == []
+
+
+def test_content_hash(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", {"k": 1}, "x")], "doc_id long, text string, m map<string,int>, `a.b` string")
+    known = common.with_row_id(df)
+    first = known.select(common.content_hash(known)).first()[0]
+    known = common.with_row_id(df.withColumn("a.b", F.lit("y")))
+    assert known.select(common.content_hash(known)).first()[0] != first
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    monkeypatch.setattr(type(spark.sparkContext), "getConf", lambda self: {})
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    with pytest.raises(ValueError):
+        common.shared_dir(Session(spark, None))

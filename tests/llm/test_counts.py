@@ -2,6 +2,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.llm import op06_counts as op
 from tessella.llm.op05_packing import TOKENIZER, encoding
@@ -42,3 +43,11 @@ def test_odd_rows(spark, odd, none):
         assert {r.n_tokens for r in got if r.doc_id in (4, 5)} == {0}
         assert all(Path(r.file.removeprefix("file://")).exists() for r in got[:1])
     assert op.count_tokens(op.write_token_files(none)).count() == 0
+
+
+def test_blocks_are_parted_by_bytes(spark, tmp_path):
+    path = tmp_path / "x.bin"
+    path.write_bytes(bytes(64 * op.TASK_BLOCKS * 5))
+    blocks = op.blocks_of(spark.createDataFrame([(f"file://{path}",)], "file string"), 64)
+    assert blocks.rdd.getNumPartitions() == 5 and blocks.count() == 5 * op.TASK_BLOCKS
+    assert blocks.groupBy(F.spark_partition_id()).count().count() > 3

@@ -51,3 +51,20 @@ def test_odd_rows(spark, odd, none):
         assert sorted((r.doc_id is None, r.doc_id or 0) for r in got.collect()) == [(False, i) for i in (1, 3, 4, 6, 7, 8, 9, 10)] + [(True, 0)]
         assert {r["a.b"] for r in got.collect()} == {"v"}
     assert op.stage(spark, none, "").count() == 0
+
+
+def test_fingerprints_cross_exchanges_only_as_codes(spark):
+    df = spark.range(1000).selectExpr("1L AS f", "id AS r", "hash(id div 2) * 123456789L AS fp")
+    found = op.exchange(df)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    moved = [line for line in plan.splitlines() if "RepartitionBy" in line or "Join" in line]
+    assert found.count() == 1000 and moved and "fp#" not in plan.split("MapInPandas")[-1] and plan.rstrip().splitlines()[-1].find("files") >= 0
+
+
+def test_the_folder_has_no_bearing(spark, tmp_path):
+    df = spark.createDataFrame([(1, "same text", str(i)) for i in range(20)] + [(None, "other", str(i)) for i in range(20)], "doc_id long, text string, x string")
+    got = []
+    for k in range(3):
+        df.repartition(k + 1).write.parquet(str(tmp_path / str(k)))
+        got.append(rows(op.deduplicate(spark.read.parquet(str(tmp_path / str(k))))))
+    assert len(got[0]) == 2 and got[0] == got[1] == got[2]
