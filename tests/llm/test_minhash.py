@@ -44,15 +44,34 @@ def test_groups_equal_brute_force(spark, documents):
     assert pairs and len(got - want) <= 0.1 * (len(docs) - len(want)) and not want - got
 
 
-def test_large_components_are_cut_without_loss(spark, documents, odd, monkeypatch):
+def test_large_buckets_are_cut_without_loss(spark, documents, odd, monkeypatch):
     want = rows(op.deduplicate(documents).select("doc_id"))
-    monkeypatch.setattr(op, "GROUP_ROWS", 1)
+    monkeypatch.setattr(op, "BLOCK_ROWS", 1)
+    monkeypatch.setattr(op, "HEADS", 0)
     assert rows(op.deduplicate(documents).select("doc_id")) == want
     near = spark.createDataFrame([(100 - i, " ".join(f"w{j if j % 40 != i else -1}" for j in range(200))) for i in range(30)], "doc_id long, text string")
-    monkeypatch.setattr(op, "GROUP_ROWS", 4)
+    monkeypatch.setattr(op, "BLOCK_ROWS", 4)
     assert [r.doc_id for r in op.deduplicate(near).collect()] == [71]
 
 
+def test_the_folder_has_no_bearing(spark, tmp_path):
+    texts = ["one two three four five six seven", "one two three four five six eight"]
+    df = spark.createDataFrame([(k % 2 or None, texts[k % 4 // 2], str(k)) for k in range(40)], "doc_id long, text string, x string")
+    got = []
+    for k in range(3):
+        df.repartition(k + 1).write.parquet(str(tmp_path / str(k)))
+        got.append(rows(op.deduplicate(spark.read.parquet(str(tmp_path / str(k))))))
+    assert len(got[0]) == 1 and got[0] == got[1] == got[2]
+
+
+def test_documents_that_only_share_buckets_are_not_joined(spark):
+    """A shared passage in texts that are apart: buckets join nothing by themselves."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [passage + " " + " ".join(f"w{k}x{i}" for i in range(90)) for k in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert op.deduplicate(df).count() == 80
+
+
 def signatures(words):
     e = [np.unique(np.array(w, np.uint64)) for w in words]
     bounds = np.concatenate([[0], np.cumsum([len(x) for x in e])])
@@ -82,13 +101,16 @@ def test_sketches_estimate_and_recall():
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.05 and hits >= 0.97 * tries
 
 
-def test_grouping_skips_nothing():
-    """All pairs in one bucket: the groups are those of brute force, chains included."""
+def test_screening_skips_no_close_pair():
     rng = np.random.default_rng(3)
-    sets = [np.unique(rng.choice(40, 20)).astype(np.uint64) for _ in range(60)]
-    keys = [np.array([7, i + 100]) for i in range(60)]
-    roots, _ = brute_groups([set(s.tolist()) for s in sets], 0.5)
-    assert op.group(sets, keys, 0.5) == roots
+    base = rng.integers(0, 255, 128)
+    sketches = np.array([np.where(rng.random(128) < rng.uniform(0.2, 0.9), base, rng.integers(0, 255, 128)) for _ in range(50)], np.uint8)
+    labels = rng.integers(0, 20, 50)
+    same = (sketches[:, None] == sketches[None]).sum(2) >= (0.5 - op.MARGIN) * 128
+    want = {(i, j) for i in range(50) for j in range(i + 1, 50) if labels[i] != labels[j] and same[i, j]}
+    assert set(zip(*(x.tolist() for x in op.close_pairs(sketches, labels, 0.5)))) == want
+    across = set(zip(*(x.tolist() for x in op.close_pairs(sketches, labels, 0.5, 20))))
+    assert across == {(i, j) for i, j in want if i < 20 <= j} and 0 < len(across) < len(want)
 
 
 def test_components(spark):

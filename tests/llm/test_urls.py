@@ -11,7 +11,7 @@ def test_equals_sql(spark, db):
 
 def test_expressions(spark):
     df = spark.createDataFrame([("http://u:p@A.b.c.d.e.f.g.:80/1/2.html?param=1#x",), ("https://1.2.3.4",), ("nonsense",), (None,)], "url string")
-    a, b, c, d = (r[0] for r in df.select(op.expressions(F.col("url"))).collect())
+    a, b, c, d = (r[0] for r in df.select(op.expressions(F.col("url"), 4, 4)).collect())
     assert "a.b.c.d.e.f.g/1/2.html?param=1" in a and "f.g/1/" in a and not any(x.startswith(("g/", "b.")) for x in a)
     assert b == ["1.2.3.4/"] and c == [] and d is None
 
@@ -81,3 +81,36 @@ def test_deep_rules_match(spark):
     assert decide(spark, url, [("org/1/2/3/4/5/6/", "block", 0), ("h.org/1/2/3/4/5/6/", "block", 0)]) == ("block", "h.org/1/2/3/4/5/6/")
     assert decide(spark, url, [("c.d.e.f.g.h.org/", "block", 0), ("h.org/", "allow", 0)]) == ("block", "c.d.e.f.g.h.org/")
     assert decide(spark, url, [("b.c.d.e.f.g.h.org/1/2/3/4/5/", "block", 0), ("h.org/1/2/3/4/5/6/7/", "allow", 9)]) == ("block", "b.c.d.e.f.g.h.org/1/2/3/4/5/")
+
+
+ODD = ["http://a.org/%61dult/x", "http://a.org//adult/../adult/x", "http://a.org/./adult/x/..", "http://a.org/../../adult/", "http://a.org/b%", "http://[::1]:80/adult/x", "  http://A.org:8080/ad\tult/x#y ", "http://u@a.org", "http://1.2.3.4/adult/", "http://a.org/a+b%2Bc", "http://a.org/b/..", "http://x.y.a.org/adult/1/2/3/4/5/6/7/8/9/10/11/12/z"]
+
+
+def test_urls_are_made_canonical(spark):
+    df = spark.createDataFrame([(u,) for u in ODD], "url string")
+    got = [r[0] for r in df.select(op.expressions(F.col("url"), 9, 20)).collect()]
+    for k in (0, 1, 3, 6):
+        assert "a.org/adult/" in got[k], ODD[k]
+    assert "a.org/adult/" in got[2] and "a.org/b%" in got[4] and "[::1]/adult/" in got[5] and "a.org/" in got[7] and "3.4/adult/" not in got[8]
+    assert "a.org/a+b+c" in got[9] and got[10] == ["a.org/"] and "a.org/adult/1/2/3/4/5/6/7/8/9/10/11/12/" in got[11]
+
+
+def test_odd_and_deep_urls_equal_sql(spark, monkeypatch):
+    import duckdb
+
+    rules = [("a.org/adult/", "block", 0), ("a.org/", "allow", 0), ("[::1]/adult/", "block", 0), ("y.a.org/adult/1/2/3/4/5/6/7/8/9/10/11/", "block", 3), ("1.2.3.4/", "block", 0), ("b.c.d.e.f.example.com/", "block", 0), ("example.com/a/b/c/d/e/", "block", 0)]
+    urls = [*ODD, "http://a.b.c.d.e.f.example.com/", "http://example.com/a/b/c/d/e/f.html", None, "", "nonsense"]
+    monkeypatch.setattr(op, "RULES", rules)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", list(enumerate(urls)))
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = op.apply_rules(pages, spark.createDataFrame(rules, "expression string, action string, priority int"))
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(op._sql()).fetchall())
+    assert {r.page_id: r.verdict for r in got.collect()}[len(ODD)] == "block" == {r.page_id: r.verdict for r in got.collect()}[len(ODD) + 1]
+
+
+def test_counted_rules_go_to_every_task(spark):
+    rows = op.common.with_row_id(spark.read.parquet(f"{SF}/pages.parquet")).select("f", "r", "doc.url")
+    plan = op.matches(rows, spark.createDataFrame(op.RULES, "expression string, action string, priority int"))._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning(short" not in plan
