@@ -74,31 +74,51 @@ def _within(items: Column) -> Column:
     return F.aggregate(starts, F.lit(0), lambda a, i: a + F.size(F.array_distinct(F.slice(items, i, WINDOW))))
 
 
-def _repetitive(words: Column, limit: float) -> Column:
+def _repetitive(words: Column, vocabulary: Column, limit: float) -> Column:
     """True for words of which, of all and then within windows or as sequences, too few are distinct. Windows and sequences cover the
     whole text; the share of all words is never above theirs by much and spares most texts the count."""
     n = F.size(words)
-    return (F.size(F.array_distinct(words)) < limit * n) & ((_within(words) < limit * n) | _with(_grams(words, SEQUENCE), lambda x: F.size(F.array_distinct(x)) < limit * F.size(x)))
+    return (F.size(vocabulary) < limit * n) & ((_within(words) < limit * n) | _with(_grams(words, SEQUENCE), lambda x: F.size(F.array_distinct(x)) < limit * F.size(x)))
 
 
-def _regrammed(words: Column, limit: float) -> Column:
+def _regrammed(words: Column, vocabulary: Column, limit: float) -> Column:
     """True if within windows too few sequences of GRAM words are distinct. Nearly every distinct word starts a sequence of its own, so
     texts with enough of them are spared the count."""
-    return (F.size(F.array_distinct(words)) < limit * F.size(words) + GRAM) & _with(_grams(words, GRAM), lambda x: _within(x) < limit * F.size(x))
+    return (F.size(vocabulary) < limit * F.size(words) + GRAM) & _with(_grams(words, GRAM), lambda x: _within(x) < limit * F.size(x))
 
 
 def _chars(lines: Column) -> Column:
     return F.aggregate(lines, F.lit(0), lambda a, x: a + F.length(x))
 
 
-def rules(text: Column, limits: dict[str, float] = LIMITS) -> dict[str, Column]:
-    """Name to the expression that is true for a text to reject. Text must not be null."""
-    n, enough = F.length(text), F.length(text) >= LEAST["chars"]
-    words = F.array_remove(F.split(text, " ", -1), "")
-    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^ \t\r]"))  # blank ones part paragraphs and repeat nothing
-    some_words = lambda test: (_times(text, " ") >= LEAST["words"]) & _with(words, lambda x: (F.size(x) > LEAST["words"]) & test(x))
-    some_lines = lambda test: (_times(text, "\n") >= LEAST["lines"]) & _with(lines, lambda x: (F.size(x) > LEAST["lines"]) & test(x))
+#: The lists that rules work on, in the order in which one is made from another.
+LISTS = {
+    "words": lambda text, made: F.array_remove(F.split(text, " ", -1), ""),
+    "vocabulary": lambda text, made: F.array_distinct(made["words"]),
+    "lines": lambda text, made: F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^ \t\r]")),  # blank ones part paragraphs and repeat nothing
+}
+
+
+def list_rules(limits: dict[str, float] = LIMITS) -> dict[str, tuple[list[str], object]]:
+    """Name to (lists that the rule needs, its test of them)."""
+    of_words = lambda test: lambda w, v: (F.size(w) > LEAST["words"]) & test(w, v)
+    of_lines = lambda test: lambda x: (F.size(x) > LEAST["lines"]) & test(x)
     starred = lambda x, kind: F.size(F.filter(x, lambda y: y.rlike(kind)))
+    words, lines = ["words", "vocabulary"], ["lines"]
+    return {
+        "short_words": (words, of_words(lambda w, v: _chars(w) + F.size(w) < limits["short_words"] * F.size(w))),
+        "distinct_words": (words, of_words(lambda w, v: _repetitive(w, v, limits["distinct_words"]))),
+        "distinct_grams": (words, of_words(lambda w, v: _regrammed(w, v, limits["distinct_grams"]))),
+        "stop_words": (words, lambda w, v: (F.size(w) >= LEAST["stop_words"]) & (F.size(F.array_intersect(v, F.lit(STOP_WORDS))) < FUNCTION_WORDS)),
+        "repeated_lines": (lines, of_lines(lambda x: F.size(x) - F.size(F.array_distinct(x)) > limits["repeated_lines"] * F.size(x))),
+        "repeated_chars": (lines, of_lines(lambda x: _chars(x) - _chars(F.array_distinct(x)) > limits["repeated_chars"] * _chars(x))),
+        "bullets": (lines, of_lines(lambda x: starred(x, BULLET) > limits["bullets"] * F.size(x))),
+        "ellipses": (lines, of_lines(lambda x: starred(x, ELLIPSIS) > limits["ellipses"] * F.size(x))),
+    }
+
+
+def text_rules(text: Column, limits: dict[str, float] = LIMITS) -> dict[str, Column]:
+    n, enough = F.length(text), F.length(text) >= LEAST["chars"]
     return {
         "blank": ~text.rlike(r"[^ \t\r\n]"),
         "symbols": enough & (F.regexp_count(text, F.lit(SYMBOLS)) > limits["symbols"] * n),
@@ -107,18 +127,24 @@ def rules(text: Column, limits: dict[str, float] = LIMITS) -> dict[str, Column]:
         "capitals": enough & (F.regexp_count(text, F.lit(CAPITALS)) > limits["capitals"] * n),
         "digits": enough & (F.regexp_count(text, F.lit(DIGITS)) > limits["digits"] * n),
         "word_length": enough & (n > limits["word_length"] * (_times(text, " ") + _times(text, "\n") + 1)),
-        "short_words": some_words(lambda x: _chars(x) + F.size(x) < limits["short_words"] * F.size(x)),
-        "distinct_words": some_words(lambda x: _repetitive(x, limits["distinct_words"])),
-        "distinct_grams": some_words(lambda x: _regrammed(x, limits["distinct_grams"])),
-        "repeated_lines": some_lines(lambda x: F.size(x) - F.size(F.array_distinct(x)) > limits["repeated_lines"] * F.size(x)),
-        "repeated_chars": some_lines(lambda x: _chars(x) - _chars(F.array_distinct(x)) > limits["repeated_chars"] * _chars(x)),
-        "bullets": some_lines(lambda x: starred(x, BULLET) > limits["bullets"] * F.size(x)),
-        "ellipses": some_lines(lambda x: starred(x, ELLIPSIS) > limits["ellipses"] * F.size(x)),
         "lettered": (_times(text, " ") >= LEAST["words"]) & (F.regexp_count(text, F.lit(LETTERED)) < limits["lettered"] * F.regexp_count(text, F.lit(TOKEN))),
-        "stop_words": (_times(text, " ") >= LEAST["stop_words"]) & _with(words, lambda x: (F.size(x) >= LEAST["stop_words"]) & (F.size(F.array_intersect(F.lit(STOP_WORDS), x)) < FUNCTION_WORDS)),
     }
 
 
+def _listed(text: Column, needed: list[str], made: dict[str, Column], then) -> Column:
+    """then(made), a condition, with the needed lists made once each."""
+    for name in needed:
+        if name not in made:
+            return _with(LISTS[name](text, made), lambda x: _listed(text, needed, made | {name: x}, then))
+    return then(made)
+
+
+def rules(text: Column, limits: dict[str, float] = LIMITS) -> dict[str, Column]:
+    """Name to the expression that is true for a text to reject. Text must not be null."""
+    of_lists = {name: _listed(text, needed, {}, lambda made: test(*(made[k] for k in needed))) for name, (needed, test) in list_rules(limits).items()}
+    return text_rules(text, limits) | of_lists
+
+
 def _sample(docs: DataFrame, rows: int, seed: int, files: int) -> DataFrame:
     """About so many texts, from a few files spread over the listing where docs is a scan, so that its cost doesn't grow with the table."""
     texts = common.spread(docs, files).select(common.text_of(docs).alias("t")).where("t IS NOT NULL")
@@ -164,12 +190,21 @@ def estimate(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 7, sam
 
 
 def cascade(text: Column, order: list[str]) -> Column:
-    """True for a text that breaks none of the rules; each is reached only by rows that passed those before it. Null for none."""
-    tests = rules(text)
-    out = F.when(text.isNull(), False)
-    for name in order:
-        out = out.when(tests[name], False)
-    return out.otherwise(True)
+    """True for a text that breaks none of the rules; each is reached only by rows that passed those before it, and a list that several
+    need is made when the first of them is reached, once. Null for none."""
+    plain, listed = text_rules(text), list_rules()
+
+    def rest(at: int, made: dict[str, Column]) -> Column:
+        out, stop = None, at
+        while stop < len(order) and (order[stop] in plain or all(k in made for k in listed[order[stop]][0])):
+            name = order[stop]
+            test = plain[name] if name in plain else listed[name][1](*(made[k] for k in listed[name][0]))
+            out = F.when(test, False) if out is None else out.when(test, False)
+            stop += 1
+        end = F.lit(True) if stop == len(order) else _listed(text, listed[order[stop]][0], made, lambda more: rest(stop, more))
+        return end if out is None else out.otherwise(end)
+
+    return F.when(text.isNull(), False).otherwise(rest(0, {}))
 
 
 def filter_quality(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -223,10 +258,10 @@ def keep_sql() -> str:
         *(f"(length(text) >= {c} AND {n} > {x[k]}::DOUBLE * length(text))" for k, n in counts.items()),
         f"(length(text) >= {c} AND {times("'|'", f"regexp_replace(text, '{TABLE_ROW}', '', 'g')")} > {x['pipes']}::DOUBLE * length(text))",
         f"(length(text) >= {c} AND length(text) > {x['word_length']}::DOUBLE * ({times("' '")} + {times('chr(10)')} + 1))",
-        f"CASE WHEN {times("' '")} >= {w} THEN {bound(words, 'w', f'len(w) > {w} AND ({" OR ".join(of_words)})')} ELSE false END",
-        f"CASE WHEN {times('chr(10)')} >= {m} THEN {bound(lines, 'l', f'len(l) > {m} AND ({" OR ".join(of_lines)})')} ELSE false END",
+        bound(words, "w", f"len(w) > {w} AND ({' OR '.join(of_words)})"),
+        bound(lines, "l", f"len(l) > {m} AND ({' OR '.join(of_lines)})"),
         f"({times("' '")} >= {w} AND {found(LETTERED)} < {x['lettered']}::DOUBLE * {found(TOKEN)})",
-        f"CASE WHEN {times("' '")} >= {LEAST['stop_words']} THEN {bound(words, 'w', function_words)} ELSE false END",
+        bound(words, "w", function_words),
     ]
     return f"text IS NOT NULL AND NOT ({' OR '.join(bad)})"
 
