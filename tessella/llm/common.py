@@ -10,6 +10,7 @@ from urllib.parse import unquote
 import numpy as np
 import pyarrow as pa
 from py4j.protocol import Py4JError
+from pyspark import Broadcast
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,6 +85,12 @@ def sweep() -> None:
         pass
 
 
+def shipped_file(spark: SparkSession, path: str) -> Broadcast:
+    """The bytes of a file that only the driver need have."""
+    with open(path, "rb") as f:
+        return spark.sparkContext.broadcast(f.read())
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and returns a scan of it: lineage ends there and no executor holds the only copy."""
     spark = df.sparkSession

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .op05_packing import TOKENIZER, encoding
+from .op05_packing import TOKENIZER, encoding_of
 
 WINDOW, LEAST, MOST, MASK_BITS = 16, 64, 1024, 8
 #: Digests that a task remembers to send a chunk's ids once; when full it forgets, and the exchange drops the repeats.
@@ -76,9 +76,9 @@ _CUT = "f long, r long, doc_id long, seq int, n int, digest binary, root binary,
 _NAMES = [x.split()[0] for x in _CUT.split(", ")]
 
 
-def _cutter(path: str):
+def _cutter(shipped):
     def cut(batches):
-        encode, known = encoding(path).encode_to_numpy, set()
+        encode, known = encoding_of(shipped.value).encode_to_numpy, set()
         for batch in batches:
             rows, seq, n, digests, roots, streams, payloads = [], [], [], [], [], [], []
 
@@ -134,7 +134,7 @@ def build(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """
     known = common.with_row_id(docs)
     rows = common.numbered_texts(known).where("text IS NOT NULL")
-    cut = rows.mapInArrow(_cutter(tokenizer), _CUT)
+    cut = rows.mapInArrow(_cutter(common.shipped_file(docs.sparkSession, tokenizer)), _CUT)
     # only rows with ids meet by digest; the others, however often their chunk occurs, spread by place
     slot = F.when(F.col("payload").isNotNull(), F.col("digest")).otherwise(F.encode(F.concat_ws("/", "f", "r", "seq"), "utf-8"))
     rank = F.row_number().over(Window.partitionBy("slot").orderBy("f", "r", "seq"))

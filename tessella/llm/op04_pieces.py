@@ -2,7 +2,8 @@
 
 Texts are split where no piece can reach across (before spaces, and between characters that no piece has side by side); equal segments are encoded once, and segments of equal length advance together, one
 character a step. At each step the hashes of all substrings that end there probe the sorted hashes of the pieces, and the best
-way to arrive is the maximum over them; its piece is the backpointer.
+way to arrive is the maximum over them; its piece is the backpointer. Where too few segments share a length to fill a batch, as with one
+very long run, the same recursion goes by single steps.
 
 For a unigram model the score of a way is the sum of its pieces' scores. A BPE model has no such sum: there a way is valid, or not. A
 sequence of pieces is what merging gives if and only if each piece merges from its own characters and merging each adjacent pair's
@@ -18,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,8 @@ NORMAL, UNKNOWN, USER_DEFINED, BYTE = 1, 2, 4, 6
 UNIGRAM, BPE = 1, 2
 #: Words that a task remembers in each of two generations, and pairs of pieces, with a table in front of these. No bearing on the result.
 REMEMBERED, PAIRS, SLOTS = 250_000, 2_000_000, 1 << 20
+#: Segments of one length from which they advance as a batch. No bearing on the result.
+BATCH = 48
 UNKNOWN_PENALTY = 10.0
 NEVER = float("inf")
 
@@ -110,7 +114,9 @@ class Model:
         self.slot_pair, self.slot_valid = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, bool)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.raw = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k not in (NORMAL, UNKNOWN) else " ⁇ ".encode() if k == UNKNOWN else p.replace(SPACE, " ").encode() for p, k in zip(self.pieces, self.kinds.tolist())]
+        self.valid = {self.pieces[i]: int(i) for i in self.ids[:-1].tolist()}
+        raw = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k not in (NORMAL, UNKNOWN) else " ⁇ ".encode() if k == UNKNOWN else p.replace(SPACE, " ").encode() for p, k in zip(self.pieces, self.kinds.tolist())]
+        self.raw, self.raw_start = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])])
 
     @staticmethod
     def _hash_all(texts: list[str]) -> np.ndarray:
@@ -211,6 +217,44 @@ class Model:
         used = back > -2
         return back[used], np.cumsum(used.sum(1))
 
+    def single(self, text: str) -> np.ndarray:
+        """The pieces of one segment, as viterbi() gives them."""
+        get, floor = self.valid.get, float(self.scores[self.ids[:-1]].min()) - UNKNOWN_PENALTY if len(self.ids) > 1 else 0.0
+        last, from_, score, scores = [-2], [0], [0.0], self.scores.tolist()
+        pairs, width = self.pairs, len(self.pieces)
+        for end in range(1, len(text) + 1):
+            best, at, top = -1, end - 1, -NEVER
+            for start in range(max(0, end - self.longest), end):
+                piece = get(text[start:end])
+                if piece is None:
+                    continue
+                if self.kind == BPE:
+                    left = last[start]
+                    if start and left >= 0:
+                        fits = pairs.get(left * width + piece)
+                        if fits is None:
+                            a, b = self.pieces[left], self.pieces[piece]
+                            fits = pairs[left * width + piece] = self.merge(a + b) == [a, b]
+                        if not fits:
+                            continue
+                    best, at = piece, start
+                    break
+                if score[start] + scores[piece] > top:
+                    best, at, top = piece, start, score[start] + scores[piece]
+            if self.kind != BPE:
+                if get(text[end - 1 : end]) is None and score[end - 1] + floor > top:
+                    best, at, top = -1, end - 1, score[end - 1] + floor
+                score.append(top)
+            last.append(best)
+            from_.append(at)
+        if len(pairs) > PAIRS:
+            pairs.clear()
+        out, at = [], len(text)
+        while at:
+            out.append(last[at])
+            at = from_[at]
+        return np.array(out[::-1], np.int32)
+
     def _learn(self, units: list[str]) -> None:
         """Encodes units that aren't known: cut between characters that no piece has side by side, as no merge and no piece
         reaches across there; then by length."""
@@ -231,7 +275,11 @@ class Model:
             step = max(1, (1 << 18) // (length + 1))
             for i in range(0, len(texts), step):
                 some = texts[i : i + step]
-                found, close = self.viterbi(some)
+                if len(some) < BATCH:
+                    each = [self.single(x) for x in some]
+                    found, close = np.concatenate(each), np.cumsum([len(x) for x in each])
+                else:
+                    found, close = self.viterbi(some)
                 raw, odd = found.astype("<i4").tobytes(), set(np.searchsorted(close, np.flatnonzero(found < 0), "right").tolist())
                 a = 0
                 for k, (text, b) in enumerate(zip(some, (close * 4).tolist())):
@@ -283,29 +331,40 @@ class Model:
         return [b"".join([known[u] for u in x]) for x in split]
 
     def decode(self, ids: np.ndarray) -> bytes:
-        """The text's bytes; a leading space that stands for the dummy prefix goes."""
-        raw = self.raw
-        out = b"".join([raw[i] for i in ids.tolist()])
-        return out[1:] if self.dummy_prefix and out[:1] == b" " else out
+        """The bytes of one text."""
+        return self.decode_all(ids, np.array([len(ids)]))[0]
+
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The bytes of the texts whose ids end at the given places, all gathered at once; a leading space that stands for the dummy
+        prefix goes."""
+        size = self.raw_start[ids + 1] - self.raw_start[ids]
+        close = np.concatenate([[0], np.cumsum(size)])
+        data = self.raw[np.repeat(self.raw_start[ids] - close[:-1], size) + np.arange(close[-1])].tobytes()
+        bounds = close[np.concatenate([[0], ends])].tolist()
+        return [data[a + (self.dummy_prefix and data[a : min(a + 1, b)] == b" ") : b] for a, b in zip(bounds, bounds[1:])]
 
 
 @lru_cache(2)
+def model_of(data: bytes) -> Model:
+    return Model(data)
+
+
 def model(path: str) -> Model:
     with open(path, "rb") as f:
-        return Model(f.read())
+        return model_of(f.read())
 
 
-def _coder(path: str):
+def _coder(shipped):
     def code(batches):
-        m = model(path)
+        m = model_of(shipped.value)
         for batch in batches:
             _, off = common.utf8(batch.column(1))
             for lo, hi in common.slices(off, 2 << 20):
                 texts = batch.column(1).slice(lo, hi - lo).to_pylist()
                 coded = m.encode(texts)
                 flat = np.frombuffer(b"".join(coded), "<i4")
-                ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in coded])])
-                back = [m.decode(flat[a:b]) == t.encode() for a, b, t in zip(ends[:-1], ends[1:], texts)]
+                ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in coded])]).astype(np.int64)
+                back = [x == t.encode() for x, t in zip(m.decode_all(flat.astype(np.int64), ends[1:]), texts)]
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists, pa.array(np.diff(ends)), pa.array(back)], names=["doc_id", "ids", "n_ids", "decoded_equal"])
 
@@ -320,19 +379,27 @@ def encode_documents(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """
     common.bound_batches(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_of(docs).alias("text")).where("text IS NOT NULL")
-    return rows.mapInArrow(_coder(path), "doc_id long, ids array<int>, n_ids long, decoded_equal boolean")
+    return rows.mapInArrow(_coder(common.shipped_file(docs.sparkSession, path)), "doc_id long, ids array<int>, n_ids long, decoded_equal boolean")
 
 
 def decode_ids(coded: DataFrame, path: str = MODEL) -> DataFrame:
-    """(doc_id, text) from (doc_id, ids). Null ids give a null text."""
+    """(doc_id, text) from (doc_id, ids), a row each. Null ids give a null text and no ids an empty one; null and repeated doc_ids, and
+    repeated rows, are decoded each; texts whole, however long; extra columns play no part; an empty table gives an empty one. Null or
+    unknown ids within raise."""
+    shipped = common.shipped_file(coded.sparkSession, path)
 
     def back(batches):
-        m = model(path)
+        m = model_of(shipped.value)
         for batch in batches:
-            texts = [None if x is None else m.decode(np.asarray(x, np.int64)).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
+            lists = batch.column(1)
+            flat = lists.flatten()
+            if flat.null_count:
+                raise ValueError("an id is null")
+            texts = m.decode_all(flat.to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)).astype(np.int64))
+            texts = [t.decode("utf-8", "replace") if v else None for t, v in zip(texts, lists.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return coded.select("doc_id", "ids").mapInArrow(back, "doc_id long, text string")
+    return coded.select(coded["doc_id"].cast("long").alias("doc_id"), "ids").mapInArrow(back, "doc_id long, text string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,18 +29,22 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 
 
 @lru_cache(2)
-def encoding(path: str):
-    """The tokenizer of a file of ranks (base64 of the bytes, rank)."""
+def encoding_of(data: bytes):
+    """The tokenizer of the contents of a file of ranks (base64 of the bytes, rank)."""
     import tiktoken
 
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def encoding(path: str):
     with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return encoding_of(f.read())
 
 
-def _counter(path: str):
+def _counter(shipped):
     def count(batches):
-        encode = encoding(path).encode_to_numpy
+        encode = encoding_of(shipped.value).encode_to_numpy
         for batch in batches:
             n = pa.array([len(encode(t, disallowed_special=())) for t in (x.as_py() for x in batch.column(2))], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], n], names=["c", "doc_id", "n"])
@@ -161,7 +165,7 @@ def items(docs: DataFrame, capacity: int, tokenizer: str) -> DataFrame:
     rows that share it; such rows are equal in all that counts here, so the table's name and files have no bearing on the packing."""
     common.bound_batches(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_of(docs).alias("text")).where("text IS NOT NULL")
-    counted = rows.select(F.xxhash64("doc_id", "text").alias("c"), "doc_id", "text").mapInArrow(_counter(tokenizer), "c long, doc_id long, n long")
+    counted = rows.select(F.xxhash64("doc_id", "text").alias("c"), "doc_id", "text").mapInArrow(_counter(common.shipped_file(docs.sparkSession, tokenizer)), "c long, doc_id long, n long")
     k = F.row_number().over(Window.partitionBy("c").orderBy("doc_id", "n")).cast("long").alias("k")
     return common.materialise(counted.select("c", k, "doc_id", (F.col("n") + 1).alias("n")), "lengths")
 

@@ -17,16 +17,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .op05_packing import TOKENIZER, encoding
+from .op05_packing import TOKENIZER, encoding_of
 
 SEPARATOR, BLOCK_BYTES = 50256, 4 << 20
 #: Blocks that a task scans, about: tasks are told by the bytes in the files, which rows that only name blocks don't show.
 TASK_BLOCKS = 16
 
 
-def _writer(folder: str, path: str, separator: int):
+def _writer(folder: str, shipped, separator: int):
     def write(batches):
-        encode, fs, out, n = encoding(path).encode_to_numpy, None, None, 0
+        encode, fs, out, n = encoding_of(shipped.value).encode_to_numpy, None, None, 0
         end = np.array([separator], "<u2").tobytes()
         for batch in batches:
             if out is None:
@@ -55,7 +55,7 @@ def write_token_files(docs: DataFrame, tokenizer: str = TOKENIZER, separator: in
     common.bound_batches(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_of(docs).alias("text")).where("text IS NOT NULL")
     folder = common.new_path(docs.sparkSession, "tokens")
-    return common.materialise(rows.mapInArrow(_writer(folder, tokenizer, separator), "file string, ordinal long, doc_id long"), "token-files")
+    return common.materialise(rows.mapInArrow(_writer(folder, common.shipped_file(docs.sparkSession, tokenizer), separator), "file string, ordinal long, doc_id long"), "token-files")
 
 
 def _sizes(frames):

@@ -1,5 +1,6 @@
 import random
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -87,3 +88,28 @@ def test_odd_rows(odd, none, spark):
     back = op.decode_ids(op.encode_documents(odd[0]).unionByName(spark.createDataFrame([(99, None)], "doc_id long, ids array<int>"), True))
     assert {(r.doc_id, r.text) for r in back.where(F.col("doc_id").isin(1, 9, 99)).collect()} == {(1, ROWS[0][1]), (9, ROWS[11][1]), (99, None)}
     assert op.encode_documents(none).count() == 0
+
+
+def test_single_steps_equal_batches(model):
+    rng = random.Random(3)
+    for m in (model, op.Model(unigram_file())):
+        for n in (1, 2, 5, 17, 60):
+            some = ["".join(rng.choice("aeinrstlo日▁") for _ in range(n)) for _ in range(60)]
+            found, close = m.viterbi(some)
+            assert [x.tolist() for x in np.split(found, close[:-1])] == [m.single(x).tolist() for x in some]
+
+
+def test_a_long_run_is_quick_and_right(model):
+    sp = sentencepiece.SentencePieceProcessor(model_file=op.MODEL)
+    assert ids(model, ["a" * 5000, "ab" * 4000, "=-" * 3000]) == sp.encode(["a" * 5000, "ab" * 4000, "=-" * 3000])
+    began = time.perf_counter()
+    (out,) = ids(model, ["a" * 1_000_000])
+    assert time.perf_counter() - began < 30 and model.decode(np.array(out)) == b"a" * 1_000_000
+
+
+def test_decoding_takes_odd_rows(spark):
+    schema = "doc_id long, ids array<int>, text string"
+    coded = spark.createDataFrame([(None, [], "v"), (1, None, "v"), (1, None, "v"), (2, [300, 301], None)], schema)
+    got = op.decode_ids(coded).collect()
+    assert len(got) == 4 and [r.text for r in got[:3]] == ["", None, None] and got[3].text
+    assert op.decode_ids(coded.where("doc_id = 9")).count() == 0

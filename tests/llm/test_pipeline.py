@@ -2,7 +2,7 @@ import corpus_pipeline
 from tessella.llm import op07_quality
 from tessella.llm.op05_packing import CAPACITY
 
-from .conftest import SF
+from .conftest import SF, rows
 from .test_minhash import brute_groups, sets_of
 
 
@@ -32,3 +32,12 @@ def test_stages_take_odd_rows(spark, odd, none, tmp_path):
                 assert out.columns == start.columns
             docs = spark.read.parquet(path)
     assert docs.count() == 0
+
+
+def test_two_runs_give_the_same_rows(spark, documents, tmp_path):
+    got = []
+    for k in range(2):
+        folder = tmp_path / str(k)
+        documents.coalesce(2).write.parquet(f"{folder}/documents.parquet")
+        got.append(rows(corpus_pipeline.run(spark, str(folder))))
+    assert got[0] and got[0] == got[1]
