@@ -452,6 +452,131 @@ def pair_metrics(pred: np.ndarray, truth: np.ndarray, bands: tuple[int, ...] = (
     return out
 
 
+def nearest_stack(targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """nearest() of every raster of a stack; indices are within the raster."""
+    t = np.asarray(targets, bool)
+    n, h, w = t.shape
+    rows = np.arange(h)[None, :, None]
+    above = np.maximum.accumulate(np.where(t, rows, -1), 1)
+    below = np.minimum.accumulate(np.where(t, rows, 3 * h)[:, ::-1], 1)[:, ::-1]
+    row_of = np.where((above >= 0) & (rows - above <= below - rows), above, np.where(below < 3 * h, below, -1))
+    column = (rows - row_of) ** 2
+    best, where = np.full((n, h, w), np.iinfo(np.int64).max), np.full((n, h, w), -1)
+    across = (np.arange(w)[None, :] - np.arange(w)[:, None]) ** 2
+    for x in range(w):
+        some = row_of[:, :, x, None] >= 0
+        d = np.where(some, column[:, :, x, None], 0) + across[x]
+        index = row_of[:, :, x, None] * w + x
+        closer = some & ((d < best) | ((d == best) & (index < where)))
+        best, where = np.where(closer, d, best), np.where(closer, index, where)
+    return np.where(where >= 0, np.sqrt(best.astype(float)), np.inf), where
+
+
+def _ratio(a: np.ndarray, b: np.ndarray, empty: float = 0.0) -> np.ndarray:
+    return np.where(b > 0, a / np.where(b > 0, b, 1), empty)
+
+
+def _harmonic(p: np.ndarray, r: np.ndarray) -> np.ndarray:
+    return np.where(p + r > 0, 2 * p * r / np.where(p + r > 0, p + r, 1), 0.0)
+
+
+def _structure_stack(p: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """s_measure() of stacks of masks, from counts alone."""
+    n, h, w = g.shape
+    size, ng, np_, hit = h * w, g.sum((1, 2)), p.sum((1, 2)), (p & g).sum((1, 2))
+
+    def alike(ones: np.ndarray, of: np.ndarray) -> np.ndarray:
+        x = _ratio(ones, of)
+        return 2 * x / (x * x + 1 + np.where(of > 1, np.sqrt(x * (1 - x) * of / np.maximum(of - 1, 1)), 0.0) + EPS)
+
+    share = ng / size
+    objects = share * alike(hit, ng) + (1 - share) * alike(size - ng - (np_ - hit), size - ng)
+    yy, xx = np.arange(h)[None, :, None], np.arange(w)[None, None, :]
+    some = np.maximum(ng, 1)
+    cy, cx = ((np.rint((g * z).sum((1, 2)) / some) + 1)[:, None, None] for z in (yy, xx))
+    regions = np.zeros(n)
+    for top in (yy < cy, yy >= cy):
+        for left in (xx < cx, xx >= cx):
+            part = top & left
+            k, a, b, ab = (v.sum((1, 2)).astype(np.int64) for v in (part, p & part, g & part, p & g & part))
+            scale = np.maximum(k, 1) * np.maximum(k - 1, 1)
+            va, vb, cab = (k * a - a * a) / scale, (k * b - b * b) / scale, (k * ab - a * b) / scale
+            ma, mb = a / np.maximum(k, 1), b / np.maximum(k, 1)
+            up, down = 4 * ma * mb * cab, (ma**2 + mb**2) * (va + vb)
+            regions += np.where(k > 0, k / size * np.where(up != 0, up / (down + EPS), (down == 0).astype(float)), 0.0)
+    mixed = np.maximum(0.0, 0.5 * objects + 0.5 * regions)
+    return np.where(ng == 0, 1 - np_ / size, np.where(ng == size, np_ / size, mixed))
+
+
+def _weighted_stack(p: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """weighted_f() of stacks of masks."""
+    n, h, w = g.shape
+    distance, index = nearest_stack(g)
+    e = (p != g).astype(float)
+    moved = np.where(g, e, np.take_along_axis(e.reshape(n, -1), np.maximum(index, 0).reshape(n, -1), 1).reshape(n, h, w))
+    wide, kernel, spread = np.pad(moved, ((0, 0), (3, 3), (3, 3))), gaussian_kernel(7, 5), np.zeros((n, h, w))
+    for dy in range(7):
+        for dx in range(7):
+            spread += kernel[dy, dx] * wide[:, dy : dy + h, dx : dx + w]
+    error = np.where(g & (spread < e), spread, e) * np.where(g, 1.0, 2 - np.exp(np.log(0.5) / 5 * np.where(np.isfinite(distance), distance, 0.0)))
+    ng, inside = g.sum((1, 2)), (error * g).sum((1, 2))
+    hit, false, r = ng - inside, (error * ~g).sum((1, 2)), 1 - _ratio(inside, ng)
+    pr = hit / (hit + false + EPS)
+    return np.where(ng > 0, 2 * r * pr / (r + pr + EPS), 0.0)
+
+
+def _component_stack(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of components, x, y of the largest one's centroid) of each mask; of none, (0, 0, 0)."""
+    labels = least_labels(m)
+    n, h, w = labels.shape
+    flat = labels.reshape(n, -1)
+    counts = np.zeros((n, h * w), np.int64)
+    row, at = np.nonzero(flat >= 0)
+    np.add.at(counts, (row, flat[row, at]), 1)
+    big = m & (labels == counts.argmax(1).reshape(-1, 1, 1))
+    size = np.maximum(big.sum((1, 2)), 1)
+    return (counts > 0).sum(1), (big * np.arange(w)).sum((1, 2)) / size, (big * np.arange(h)[:, None]).sum((1, 2)) / size
+
+
+def pair_metrics_stack(pred: np.ndarray, truth: np.ndarray, bands: tuple[int, ...] = ()) -> dict[str, np.ndarray]:
+    """pair_metrics() of stacks (n, height, width) of masks, every step over the whole stack. A mask has two levels, so the curves over
+    256 thresholds have two values: 255 times that of the mask, and once that of the whole image."""
+    p, g = np.asarray(pred, bool), np.asarray(truth, bool)
+    n, h, w = g.shape
+    size, area, ng, hit = h * w, p.sum((1, 2)), g.sum((1, 2)), (p & g).sum((1, 2))
+    inner = [inner_boundary(x, boundary_width(h, w)) for x in (p, g)]
+    ep, eg = gradient_boundary(p), gradient_boundary(g)
+    near_p, near_g = dilate(ep, disc(3)), dilate(eg, disc(3))
+    some = ep.any((1, 2)) & eg.any((1, 2))
+    bp, br = (np.where(some, _ratio((x & y).sum((1, 2)), x.sum((1, 2))), 0.0) for x, y in ((ep, near_g), (eg, near_p)))
+
+    def enhanced(ff: np.ndarray, fb: np.ndarray) -> np.ndarray:
+        on = ff + fb
+        mp, mg, total = on / size, ng / size, 0.0
+        for count, a, b in ((ff, 1 - mp, 1 - mg), (fb, 1 - mp, -mg), (ng - ff, -mp, 1 - mg), (size - on - (ng - ff), -mp, -mg)):
+            total = total + count * (2 * a * b / (a * a + b * b + EPS) + 1) ** 2 / 4
+        return np.where(ng == 0, size - on, np.where(ng == size, on, total)) / (size - 1 + EPS)
+
+    def f_of(tp: np.ndarray, on: np.ndarray) -> np.ndarray:
+        precision, recall = tp / np.maximum(on, 1), tp / np.maximum(ng, 1)
+        top = 1.3 * precision * recall
+        return top / np.where(top == 0, 1, 0.3 * precision + recall)
+
+    e_mask, e_all = enhanced(hit, area - hit), enhanced(ng, size - ng)
+    (np_, ax, ay), (n_truth, bx, by) = _component_stack(p), _component_stack(g)
+    shift = np.where((area == 0) & (ng == 0), 0.0, np.where((area == 0) | (ng == 0), 1.0, np.hypot(ax - bx, ay - by) / math.hypot(h, w)))
+    out = {
+        "iou": _ratio(hit, area + ng - hit, 1.0), "boundary_iou": _ratio((inner[0] & inner[1]).sum((1, 2)), (inner[0] | inner[1]).sum((1, 2)), 1.0), "bf": _harmonic(bp, br), "boundary_precision": bp, "boundary_recall": br, "s_measure": _structure_stack(p, g), "mae": (p != g).mean((1, 2)), "centroid_shift": shift,
+        "area_ratio": area / np.maximum(ng, 1), "absolute_area_error": np.abs(area - ng) / np.maximum(ng, 1), "component_count": np_, "component_count_delta": np_ - n_truth, "component_count_error": np.abs(np_ - n_truth), "e_max": np.maximum(e_mask, e_all), "e_mean": (255 * e_mask + e_all) / 256, "f_max": np.maximum(f_of(hit, area), f_of(ng, np.full(n, size))), "wfm": _weighted_stack(p, g),
+    }
+    for k in bands:
+        zone = dilate(eg, ellipse(k))
+        a, b = ep & zone, eg & zone
+        bp, br = _ratio((a & near_g).sum((1, 2)), a.sum((1, 2))), _ratio((b & near_p).sum((1, 2)), b.sum((1, 2)))
+        out |= {f"band_{k}_iou": _ratio((p & g & zone).sum((1, 2)), ((p | g) & zone).sum((1, 2))), f"band_{k}_bf": _harmonic(bp, br)}
+    return out
+
+
 # refinement ---------------------------------------------------------------------------------------------------------------
 
 

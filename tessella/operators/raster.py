@@ -67,21 +67,38 @@ def _stack(column: pa.Array, height: int, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), height, width)
 
 
+#: Pixels of a stack that a function gets at once.
+STACK_PIXELS = 4 << 20
+
+
 def map_rasters(rows: DataFrame, keep: list[str], rasters: list[str], height: int, width: int, function: Callable[..., dict[str, np.ndarray]], schema: str) -> DataFrame:
-    """keep, then the columns that function returns for stacks (n, height, width) of the raster columns. Rows with a null raster or
-    another size are left out. Lists in the result come as object arrays or 2-D arrays."""
+    """keep, then the columns that function returns for stacks (n, height, width) of the raster columns. A row with a null raster, a null
+    in one, or one of another size has null results. Lists in the result come as object arrays or 2-D arrays."""
     fit = F.lit(True)
     for c in rasters:
         fit = fit & F.coalesce((F.size(c) == height * width) & ~F.exists(c, lambda x: x.isNull()), F.lit(False))
-    source = rows.where(fit).select(*keep, *(F.col(c).cast("array<double>").alias(f"__{i}") for i, c in enumerate(rasters)))
-    k = len(keep)
+    source = rows.select(*keep, *(F.when(fit, F.col(c).cast("array<double>")).alias(f"__{i}") for i, c in enumerate(rasters)))
+    k, names = len(keep), [x.split()[0] for x in schema.split(", ")]
+    step = max(1, STACK_PIXELS // (height * width))
+
+    def arrays_of(batch) -> list[pa.Array]:
+        out = function(*(_stack(batch.column(k + i), height, width) for i in range(len(rasters))))
+        return [pa.array(list(v)) if v.ndim > 1 or v.dtype == object else pa.array(v) for v in (out[n] for n in names)]
 
     def run(batches):
-        for batch in batches:
-            if len(batch):
-                out = function(*(_stack(batch.column(k + i), height, width) for i in range(len(rasters))))
-                arrays = [pa.array(list(v)) if v.ndim > 1 or v.dtype == object else pa.array(v) for v in out.values()]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:k], *arrays], names=[*keep, *out])
+        for whole in batches:
+            for at in range(0, len(whole), step):
+                batch = whole.slice(at, step)
+                good = batch.column(k).is_valid()
+                fitting = batch.filter(good)
+                if len(fitting) == len(batch):
+                    arrays = arrays_of(batch)
+                elif len(fitting):
+                    place = np.cumsum(good.to_numpy(zero_copy_only=False)) - 1
+                    arrays = [x.take(pa.array(place, mask=~good.to_numpy(zero_copy_only=False))) for x in arrays_of(fitting)]
+                else:
+                    arrays = [pa.nulls(len(batch))] * len(names)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:k], *arrays], names=[*keep, *names])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema)
     return source.mapInArrow(run, f"{kept}, {schema}")
@@ -142,13 +159,13 @@ def labels_of_masks(masks: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def evaluate_pairs(rows: DataFrame, keep: list[str], pred: str, truth: str, height: int, width: int, bands: tuple[int, ...] = ()) -> DataFrame:
-    """All pair metrics of mask columns, one Arrow pass; the truth's own work is shared within a pair."""
+    """All pair metrics of mask columns, one Arrow pass over whole stacks."""
     names = list(kernels.pair_metrics(np.ones((2, 2), bool), np.ones((2, 2), bool), bands))
     whole = {"component_count", "component_count_delta", "component_count_error"}
 
     def run(p: np.ndarray, g: np.ndarray) -> dict[str, np.ndarray]:
-        found = [kernels.pair_metrics(x > 0, y > 0, bands) for x, y in zip(p, g)]
-        return {n: np.array([f[n] for f in found], np.int64 if n in whole else float) for n in names}
+        found = kernels.pair_metrics_stack(p > 0, g > 0, bands)
+        return {n: found[n].astype(np.int64 if n in whole else float) for n in names}
 
     return map_rasters(rows, keep, [pred, truth], height, width, run, ", ".join(f"{n} {'long' if n in whole else 'double'}" for n in names))
 

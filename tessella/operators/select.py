@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.internal import InternalFunction
 
 
 #: Rows up to which an order statistic is found by one sort.
@@ -65,9 +66,11 @@ def selection_metadata(all_rows: DataFrame, selected: DataFrame, score: str) ->
 
 
 def ranked(rows: DataFrame, order: list[Column], by: list[str] | None = None, name: str = "position", start: int = 0) -> DataFrame:
-    """Position in the given total order, within groups or overall. Without groups one task ranks all rows: meant for cohorts."""
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)
-    return rows.withColumn(name, (F.row_number().over(w) - 1 + start).cast("long"))
+    """Position in the given total order, within groups or overall. Overall, rows are sorted by ranges and each range is numbered from the
+    count of those before it, so no task sees the whole table."""
+    if not by:
+        return rows.orderBy(*order).select("*", (InternalFunction.distributed_sequence_id() + start).cast("long").alias(name))
+    return rows.withColumn(name, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1 + start).cast("long"))
 
 
 def at_quantile_positions(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
@@ -142,8 +145,7 @@ def first_few(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
 
 def ends_and_middle(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
     """The n lowest ("worst"), n highest ("best") and n middle rows of a total order, with their kind; a row may be of several."""
-    w = Window.partitionBy(F.lit(0))
-    r = rows.withColumn("__i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("__n", F.count("*").over(w))
+    r = ranked(rows, order, name="__i").withColumn("__n", F.lit(rows.count()))
     middle = F.greatest(F.floor(F.col("__n") / 2) - n // 2, F.lit(0))
     kinds = F.array_compact(F.array(F.when(F.col("__i") < n, F.lit("worst")), F.when(F.col("__i") >= F.col("__n") - n, F.lit("best")), F.when((F.col("__i") >= middle) & (F.col("__i") < middle + n), F.lit("middle"))))
     return r.withColumn("kind", F.explode(kinds)).drop("__i", "__n")

@@ -338,6 +338,38 @@ def pair_metrics_full(spark, sf):
     return out.select("pair", "label", *(r6(c).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes if c not in ("pair", "label")))
 
 
+def _enhanced(ff: str, fb: str) -> str:
+    """The SQL of the enhanced alignment of a mask with so many pixels on and off the truth."""
+    on, rest = f"({ff} + {fb})", f"(ga - {ff})"
+    terms = ((ff, f"(1 - {on} / 64.0::DOUBLE)", "(1 - ga / 64.0::DOUBLE)"), (fb, f"(1 - {on} / 64.0::DOUBLE)", "(-ga / 64.0::DOUBLE)"), (rest, f"(-{on} / 64.0::DOUBLE)", "(1 - ga / 64.0::DOUBLE)"), (f"(64 - {on} - {rest})", f"(-{on} / 64.0::DOUBLE)", "(-ga / 64.0::DOUBLE)"))
+    total = " + ".join(f"{n} * pow(2 * {a} * {b} / ({a} * {a} + {b} * {b} + 2.220446049250313e-16::DOUBLE) + 1, 2) / 4" for n, a, b in terms)
+    return f"(CASE WHEN ga = 0 THEN 64 - {on} WHEN ga = 64 THEN {on} ELSE {total} END / 63.0::DOUBLE)"
+
+
+def _f(tp: str, on: str) -> str:
+    p, r = f"({tp} / greatest({on}, 1)::DOUBLE)", f"({tp} / greatest(ga, 1)::DOUBLE)"
+    return f"(CASE WHEN {tp} = 0 THEN 0.0::DOUBLE ELSE 1.3 * {p} * {r} / (0.3 * {p} + {r}) END)"
+
+
+_COUNTED = ("iou", "mae", "area_ratio", "absolute_area_error", "e_max", "e_mean", "f_max")
+_COUNTS_SQL = {
+    "iou": "CASE WHEN uni = 0 THEN 1.0::DOUBLE ELSE inter / uni::DOUBLE END",
+    "mae": "(uni - inter) / 64.0::DOUBLE",
+    "area_ratio": "pa / greatest(ga, 1)::DOUBLE",
+    "absolute_area_error": "abs(pa - ga) / greatest(ga, 1)::DOUBLE",
+    "e_max": f"greatest({_enhanced('inter', '(pa - inter)')}, {_enhanced('ga', '(64 - ga)')})",
+    "e_mean": f"(255 * {_enhanced('inter', '(pa - inter)')} + {_enhanced('ga', '(64 - ga)')}) / 256",
+    "f_max": f"greatest({_f('inter', 'pa')}, {_f('ga', '64')})",
+}
+
+
+@register("pair_metrics_counted", f"WITH {_BASIC} SELECT pair, label, {', '.join(f'{q6(_COUNTS_SQL[c])} AS {c}' for c in _COUNTED)} FROM m")
+def pair_metrics_counted(spark, sf):
+    """Those of the pair metrics that counts of pixels give, by the kernels, against SQL."""
+    out = raster.evaluate_pairs(_pairs(spark, sf), ["pair", "label"], "p", "g", H, W)
+    return out.select("pair", "label", *(r6(c).alias(c) for c in _COUNTED))
+
+
 @register("metric_summary_ci")
 def metric_summary_ci(spark, sf):
     """Mean and bootstrap bounds of IoU by label and over all."""

@@ -217,3 +217,21 @@ def test_f_and_e_curves_match_a_direct_count():
         assert curve[255 - t] == pytest.approx(1.3 * pr * rc / (0.3 * pr + rc) if tp else 0)
     assert K.auroc(p, g) == pytest.approx(np.mean([(a > b) + (a == b) / 2 for a in p[g] for b in p[~g]]))
     assert K.auroc(p, np.ones_like(g)) is None
+
+
+def test_stacks_of_pairs_equal_single_pairs():
+    rng = np.random.default_rng(8)
+    for h, w in ((8, 8), (13, 21)):
+        p, g = rng.random((2, 40, h, w)) < rng.uniform(0, 1, (2, 40, 1, 1))
+        p[:3], g[2:5], p[5], g[6] = False, False, True, True
+        g[7], p[8] = False, False
+        g[7, 3, 2] = p[8, 0, 0] = True
+        found = K.pair_metrics_stack(p, g, (1, 3))
+        for i in range(40):
+            want = K.pair_metrics(p[i], g[i], (1, 3))
+            assert set(want) == set(found)
+            for k, v in want.items():
+                assert abs(found[k][i] - v) < 1e-9, (i, k)
+        for i in range(40):
+            d, at = K.nearest(g[i])
+            assert np.allclose(K.nearest_stack(g)[0][i], d) and (K.nearest_stack(g)[1][i] == at).all()

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import scalars as S
-from tessella.operators import relate, select, stats
+from tessella.operators import raster, relate, select, stats
 
 
 def rows(spark, data, schema):
@@ -113,3 +113,20 @@ def test_order_statistics_without_a_sort(spark, monkeypatch, ties):
         assert select.kth_smallest(df, "v", k) == np.sort(v)[k]
     with pytest.raises(IndexError):
         select.kth_smallest(df, "v", 20000)
+
+
+def test_rasters_that_do_not_fit_have_null_results(spark):
+    rows = spark.createDataFrame([(1, [1.0] * 4), (2, None), (3, [1.0] * 3), (4, [1.0, None, 1.0, 1.0]), (5, [0.0] * 4)], "k long, v array<double>")
+    total = lambda v: {"total": v.sum((1, 2)), "flat": v.reshape(len(v), -1)}
+    got = {r.k: (r.total, r.flat) for r in raster.map_rasters(rows, ["k"], ["v"], 2, 2, total, "total double, flat array<double>").collect()}
+    assert got == {1: (4.0, [1.0] * 4), 2: (None, None), 3: (None, None), 4: (None, None), 5: (0.0, [0.0] * 4)}
+    assert raster.map_rasters(rows.where("k = 2"), ["k"], ["v"], 2, 2, total, "total double, flat array<double>").first().total is None
+
+
+def test_ranks_over_the_whole_table_need_no_single_task(spark):
+    rows = spark.range(5000).selectExpr("id", "(id * 7919) % 5003 AS v").repartition(6)
+    got = select.ranked(rows, [F.col("v").desc()], start=1)
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {v: i + 1 for i, v in enumerate(sorted((r.v for r in rows.collect()), reverse=True))}
+    assert {r.v: r.position for r in got.collect()} == want
+    assert select.ranked(rows.where("id < 0"), [F.col("v")]).count() == 0
