@@ -168,21 +168,18 @@ def ordered(names: list[str], costs: list[float], hits: np.ndarray) -> list[tupl
 def estimate(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 7, sample_files: int = SAMPLE_FILES) -> list[tuple[str, float, int]]:
     """(rule, seconds on the sample beyond those of reading it, rows rejected of those left), in the order in which to apply the rules. One
     pass over the sample tells for every rule which rows it rejects; then each is timed by itself."""
-    local = _sample(docs, sample_rows, seed, sample_files).coalesce(4).persist()
+    local = _sample(docs, sample_rows, seed, sample_files).coalesce(8).persist()
     try:
         tests = rules(F.col("t"))
         names = list(tests)
         hits = np.array([r[0] for r in local.select(F.array(*tests.values())).collect()], bool).reshape(-1, len(names))
 
         def timed(rule: Column) -> float:
-            took = []
-            for _ in range(2):  # the first run compiles
-                began = time.perf_counter()
-                local.agg(F.count_if(rule)).collect()
-                took.append(time.perf_counter() - began)
-            return min(took)
-
-        floor = timed(F.octet_length("t") < 0)
+            began = time.perf_counter()
+            local.agg(F.count_if(rule)).collect()
+            return time.perf_counter() - began
+
+        floor = min(timed(F.octet_length("t") < k) for k in range(2))
         costs = [max(timed(tests[name]) - floor, 1e-3) for name in names]
     finally:
         local.unpersist()
