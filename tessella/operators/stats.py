@@ -63,17 +63,57 @@ def repeated_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
+#: Rank error of the sketches that bracket quantiles, as a share of a group's rows; brackets are wider than twice that.
+SKETCH = 10_000
+
+
+def exact_quantiles(rows: DataFrame, by: list[str], value: str, at: list[float]) -> DataFrame:
+    """(by, n, least, most, mean, q): exact, linearly interpolated quantiles of each group at the given shares, as an array; nulls are left
+    out, groups of nulls alone have none. No group is sorted or kept in memory: a sketch with a guaranteed rank error brackets each
+    place, the rows below are counted, and only the distinct values inside the brackets are ordered."""
+    names = [f"__g{i}" for i in range(len(by))]
+    v = rows.select(*(F.col(b).alias(g) for b, g in zip(by, names)), F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
+    wide = 3.0 / SKETCH
+    shares = F.array(*(F.lit(min(max(q + d, 0.0), 1.0)) for q in at for d in (-wide, wide)))
+    bounds = v.groupBy(*names).agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), F.avg("v").alias("mean"), F.percentile_approx("v", shares, SKETCH).alias("s"))
+    few = F.col("n") <= SKETCH  # a bracket would be narrower than the two places between which to interpolate: all is inside
+    lows = [F.when(few, F.col("least")).otherwise(F.col("s")[2 * j]) if q > wide else F.col("least") for j, q in enumerate(at)]
+    highs = [F.when(few, F.col("most")).otherwise(F.col("s")[2 * j + 1]) if q < 1 - wide else F.col("most") for j, q in enumerate(at)]
+    ends = [F.struct(F.lit(float(q)).alias("q"), lo.alias("lo"), hi.alias("hi")) for q, lo, hi in zip(at, lows, highs)]
+    bounds = bounds.withColumn("b", F.array(*ends)).drop("s")
+
+    def with_groups(left: DataFrame, right: DataFrame) -> DataFrame:
+        renamed = right.select(*(F.col(g).alias(f"{g}r") for g in names), *(c for c in right.columns if c not in names))
+        same = F.lit(True)
+        for g in names:
+            same = same & F.col(g).eqNullSafe(F.col(f"{g}r"))
+        return (left.join(renamed, same) if names else left.crossJoin(renamed)).drop(*(f"{g}r" for g in names))
+
+    met = with_groups(v, bounds.select(*names, "b"))
+    below = met.groupBy(*names).agg(F.array(*(F.count_if(F.col("v") < F.col("b")[j]["lo"]) for j in range(len(at)))).alias("below"))
+    inside = F.filter(F.sequence(F.lit(0), F.lit(len(at) - 1)), lambda j: (F.col("v") >= F.get("b", j)["lo"]) & (F.col("v") <= F.get("b", j)["hi"]))
+    counts = met.select(*names, "v", F.explode(inside).alias("j")).groupBy(*names, "j", "v").agg(F.count("*").alias("c"))
+    upto = counts.withColumn("upto", F.sum("c").over(Window.partitionBy(*names, "j").orderBy("v")))
+    upto = with_groups(with_groups(upto, below), bounds.select(*names, "n", "b"))
+    place = F.get("b", F.col("j"))["q"] * (F.col("n") - 1)
+    last = F.get("below", F.col("j")) + F.col("upto") - 1
+    here = lambda k: F.max(F.when((k <= last) & (k > last - F.col("c")), F.col("v")))
+    found = upto.groupBy(*names, "j").agg(F.first(place).alias("place"), here(F.floor(place)).alias("lo"), here(F.ceil(place)).alias("hi"))
+    part = F.col("place") - F.floor("place")
+    q = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise((1 - part) * F.col("lo") + part * F.col("hi"))
+    listed = found.groupBy(*names).agg(F.transform(F.sort_array(F.collect_list(F.struct("j", q.alias("q")))), lambda x: x["q"]).alias("q"))
+    return with_groups(bounds.drop("b"), listed).select(*(F.col(g).alias(b) for g, b in zip(names, by)), "n", "least", "most", "mean", "q")
+
+
 def distribution(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """min, p05, median, p95, max and mean by exact, linearly interpolated quantiles; nulls are left out."""
-    q = F.percentile(value, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    out = rows.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("min"), q.alias("q"), F.max(value).alias("max"), F.avg(value).alias("mean"))
-    return out.select(*by, "n", "min", F.col("q")[0].alias("p05"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p95"), "max", "mean")
+    out = exact_quantiles(rows, by, value, [0.05, 0.5, 0.95])
+    return out.select(*by, "n", F.col("least").alias("min"), F.col("q")[0].alias("p05"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p95"), F.col("most").alias("max"), "mean")
 
 
 def quantiles(rows: DataFrame, by: list[str], value: str, at: list[float]) -> DataFrame:
     """One row for each quantile."""
-    q = F.percentile(value, F.array(*map(F.lit, at)))
-    return rows.groupBy(*by).agg(q.alias("v")).select(*by, F.posexplode("v").alias("k", "value")).withColumn("q", F.element_at(F.array(*map(F.lit, at)), F.col("k") + 1)).drop("k")
+    return exact_quantiles(rows, by, value, at).select(*by, F.posexplode("q").alias("k", "value")).withColumn("q", F.element_at(F.array(*map(F.lit, at)), F.col("k") + 1)).drop("k")
 
 
 def fixed_histogram(rows: DataFrame, value: str, edges: list[float]) -> DataFrame:
@@ -125,7 +165,9 @@ def bootstrap_interval(values: np.ndarray, resamples: int = 1000, alpha: float =
 
 
 def bootstrap(rows: DataFrame, by: list[str], key: str, value: str, resamples: int | None = 1000) -> DataFrame:
-    """(by, n, mean, ci_lower, ci_upper) of each group, its rows in the order of the key. None: as many resamples as rows, at most 1000."""
+    """(by, n, mean, ci_lower, ci_upper) of each group, its rows in the order of the key. None: as many resamples as rows, at most 1000.
+    The resamples are those of a seeded generator over the ordered rows, so a group goes to one task whole: meant for groups that one task
+    can hold, as metric tables of a label set are."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         v = pdf.dropna(subset=["v"]).sort_values("k", kind="stable")["v"].to_numpy()

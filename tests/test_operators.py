@@ -130,3 +130,19 @@ def test_ranks_over_the_whole_table_need_no_single_task(spark):
     want = {v: i + 1 for i, v in enumerate(sorted((r.v for r in rows.collect()), reverse=True))}
     assert {r.v: r.position for r in got.collect()} == want
     assert select.ranked(rows.where("id < 0"), [F.col("v")]).count() == 0
+
+
+def test_quantiles_are_exact_and_sort_no_group(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    data = [(g, float(x)) for g, n in (("a", 3001), ("b", 1), ("c", 2), (None, 500)) for x in np.round(rng.normal(size=n), 2)] + [("a", None), ("d", None)] + [("e", 1.0)] * 2000 + [("e", 2.0)] * 3
+    df = spark.createDataFrame(data, "g string, v double").repartition(5)
+    at = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
+    for sketch in (10_000, 40):
+        monkeypatch.setattr(stats, "SKETCH", sketch)
+        got = {r.g: r.q for r in stats.exact_quantiles(df, ["g"], "v", at).collect()}
+        assert set(got) == {"a", "b", "c", "e", None}
+        for g, q in got.items():
+            assert np.allclose(q, np.percentile([v for k, v in data if k == g and v is not None], [100 * x for x in at]))
+        (q,) = stats.exact_quantiles(df, [], "v", at).collect()
+        assert np.allclose(q.q, np.percentile([v for _, v in data if v is not None], [100 * x for x in at]))
+    assert stats.exact_quantiles(df.where("g = 'z'"), ["g"], "v", at).count() == 0
