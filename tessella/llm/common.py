@@ -110,6 +110,18 @@ def with_row_id(docs: DataFrame) -> DataFrame:
         return materialise(docs, "rows").select(*ids)
 
 
+#: What a scan gives a task at least, where it can split its files: Spark's own default.
+SPLIT_BYTES = 4 << 20
+
+
+def dealt(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """rows, made of docs row by row, dealt out to all cores where docs is so small that its scan would leave cores idle: a file of one row
+    group is one task. Larger tables are left as their scan parts them. The result has the same rows either way."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < cores * SPLIT_BYTES else rows
+
+
 def _hashable(kind: DataType) -> bool:
     parts = [f.dataType for f in kind.fields] if isinstance(kind, StructType) else [kind.elementType] if isinstance(kind, ArrayType) else []
     return not isinstance(kind, (MapType, VariantType)) and all(map(_hashable, parts))

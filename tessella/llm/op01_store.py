@@ -133,7 +133,7 @@ def build(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     whole; an empty table gives an empty store; extra columns play no part.
     """
     known = common.with_row_id(docs)
-    rows = common.numbered_texts(known).where("text IS NOT NULL")
+    rows = common.dealt(common.numbered_texts(known).where("text IS NOT NULL"), docs)
     cut = rows.mapInArrow(_cutter(common.shipped_file(docs.sparkSession, tokenizer)), _CUT)
     # only rows with ids meet by digest; the others, however often their chunk occurs, spread by place
     slot = F.when(F.col("payload").isNotNull(), F.col("digest")).otherwise(F.encode(F.concat_ws("/", "f", "r", "seq"), "utf-8"))

@@ -206,7 +206,7 @@ def _scored(docs: DataFrame, carried: DataFrame, reject_bits: float, model: Mode
 
     kept = carried.drop("text").schema
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "language string, bits double"])
-    return carried.mapInArrow(score, schema)
+    return common.dealt(carried, docs).mapInArrow(score, schema)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -166,6 +166,7 @@ def _verify(t: int, least_chars: int):
 def occurrences(docs: DataFrame) -> DataFrame:
     """(h, h2, place, line) of every line that isn't blank; the hashes tell lines apart by 128 bits, places sort as judge_lines() says."""
     rows = common.numbered_texts(common.with_row_id(docs)).where("text IS NOT NULL").withColumn("c", F.xxhash64("text"))
+    rows = common.dealt(rows, docs)
     lines = rows.select("f", "r", "doc_id", "c", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where("trim(line) <> ''")
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "c", "line_no", "f", "r").alias("place")
     return lines.select(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), place, "line")

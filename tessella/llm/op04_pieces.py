@@ -379,7 +379,7 @@ def encode_documents(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """
     common.bound_batches(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_of(docs).alias("text")).where("text IS NOT NULL")
-    return rows.mapInArrow(_coder(common.shipped_file(docs.sparkSession, path)), "doc_id long, ids array<int>, n_ids long, decoded_equal boolean")
+    return common.dealt(rows, docs).mapInArrow(_coder(common.shipped_file(docs.sparkSession, path)), "doc_id long, ids array<int>, n_ids long, decoded_equal boolean")
 
 
 def decode_ids(coded: DataFrame, path: str = MODEL) -> DataFrame:

@@ -165,7 +165,7 @@ def items(docs: DataFrame, capacity: int, tokenizer: str) -> DataFrame:
     rows that share it; such rows are equal in all that counts here, so the table's name and files have no bearing on the packing."""
     common.bound_batches(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_of(docs).alias("text")).where("text IS NOT NULL")
-    counted = rows.select(F.xxhash64("doc_id", "text").alias("c"), "doc_id", "text").mapInArrow(_counter(common.shipped_file(docs.sparkSession, tokenizer)), "c long, doc_id long, n long")
+    counted = common.dealt(rows.select(F.xxhash64("doc_id", "text").alias("c"), "doc_id", "text"), docs).mapInArrow(_counter(common.shipped_file(docs.sparkSession, tokenizer)), "c long, doc_id long, n long")
     k = F.row_number().over(Window.partitionBy("c").orderBy("doc_id", "n")).cast("long").alias("k")
     return common.materialise(counted.select("c", k, "doc_id", (F.col("n") + 1).alias("n")), "lengths")
 

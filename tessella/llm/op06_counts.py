@@ -55,7 +55,7 @@ def write_token_files(docs: DataFrame, tokenizer: str = TOKENIZER, separator: in
     common.bound_batches(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_of(docs).alias("text")).where("text IS NOT NULL")
     folder = common.new_path(docs.sparkSession, "tokens")
-    return common.materialise(rows.mapInArrow(_writer(folder, common.shipped_file(docs.sparkSession, tokenizer), separator), "file string, ordinal long, doc_id long"), "token-files")
+    return common.materialise(common.dealt(rows, docs).mapInArrow(_writer(folder, common.shipped_file(docs.sparkSession, tokenizer), separator), "file string, ordinal long, doc_id long"), "token-files")
 
 
 def _sizes(frames):

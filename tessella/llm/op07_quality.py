@@ -168,7 +168,7 @@ def ordered(names: list[str], costs: list[float], hits: np.ndarray) -> list[tupl
 def estimate(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 7, sample_files: int = SAMPLE_FILES) -> list[tuple[str, float, int]]:
     """(rule, seconds on the sample beyond those of reading it, rows rejected of those left), in the order in which to apply the rules. One
     pass over the sample tells for every rule which rows it rejects; then each is timed by itself."""
-    local = _sample(docs, sample_rows, seed, sample_files).coalesce(8).persist()
+    local = _sample(docs, sample_rows, seed, sample_files).repartition(8).persist()
     try:
         tests = rules(F.col("t"))
         names = list(tests)
@@ -212,7 +212,8 @@ def filter_quality(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame
     carried along untouched. Whole texts count, however long.
     """
     order = [name for name, *_ in estimate(docs, sample_rows)]
-    return docs.where(cascade(common.text_of(docs), order))
+    spread = common.dealt(docs, docs)
+    return spread.where(cascade(common.text_of(spread), order))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

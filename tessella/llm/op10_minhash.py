@@ -193,7 +193,7 @@ def duplicates(known: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Null texts and texts without a word are in no group and all stay. Very long texts count whole. Repeated rows are one group.
     """
     rows = known.select("f", "r", F.col("doc.doc_id").cast("long").alias("doc_id"), common.content_hash(known).alias("c"), F.col("doc.text").cast("string").alias("text"))
-    signed = common.materialise(rows.where("text IS NOT NULL").mapInArrow(_signatures, _SIGNED), "signatures")
+    signed = common.materialise(common.dealt(rows.where("text IS NOT NULL"), known).mapInArrow(_signatures, _SIGNED), "signatures")
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "c", "f", "r")
     # equal word sequences first: one representative of each goes on
     first = signed.groupBy("h", "h2").agg(F.min(order).alias("k"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))

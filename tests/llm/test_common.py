@@ -103,3 +103,10 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
     with pytest.raises(ValueError):
         common.shared_dir(Session(spark, None))
+
+
+def test_small_tables_are_dealt_out(spark, documents, monkeypatch):
+    assert documents.repartition(1).count() == common.dealt(documents, documents).count()
+    assert common.dealt(documents, documents).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(common, "SPLIT_BYTES", 1)
+    assert common.dealt(documents, documents) is documents
