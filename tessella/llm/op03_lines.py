@@ -3,8 +3,9 @@
 Two lines within an edit distance of t share at least one of t + 1 segments into which either is cut evenly, nearly in place. So every
 distinct line is entered under (length, segment number, segment) and probes, for each length within t of its own that isn't longer, the
 substrings that a segment may have become, by the multi-match-aware choice of places. Keys and the lines' hashes go straight into the
-exchange of the join, where repeats from several tasks fall together before anything is joined; it sorts and so can spill. Only lines that
-meet move as texts. They are verified by a bit-parallel edit distance that keeps to the band of 2t + 1 diagonals, many pairs advancing
+exchange of the join, where repeats from several tasks fall together before anything is joined; it sorts and so can spill. The lower half of
+a key holds parities of the line's character counts, of which an edit flips at most two: lines that share a segment but lie further apart are
+told there, so that families of lines with a common passage do not leave the join as pairs. Only lines that pass move as texts. They are verified by a bit-parallel edit distance that keeps to the band of 2t + 1 diagonals, many pairs advancing
 together.
 """
 
@@ -70,6 +71,18 @@ def probe_keys(prefix: np.ndarray, begin: np.ndarray, length: np.ndarray, t: int
     return _keys(prefix, begin, length, t, least_chars, True)
 
 
+#: Parities in the lower half of a key: one for each class of characters, enough to part the Latin letters.
+CLASSES = 31
+LOW_HALF = (1 << 32) - 1
+
+
+def parities(chars: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """For each line, whether it has an odd number of characters of a class, a bit for each class. An edit flips two bits at most."""
+    flips = np.zeros(len(chars) + 1, np.int64)
+    np.bitwise_xor.accumulate(np.int64(1) << (chars % np.uint32(CLASSES)).astype(np.int64), out=flips[1:])
+    return flips[begin + length] ^ flips[begin]
+
+
 def _code_points(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Characters of rows and their offsets, from UTF-8."""
     chars = np.frombuffer(data[off[0] : off[-1]].tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
@@ -93,7 +106,9 @@ def _segmenter(t: int, least_chars: int, keys_of):
                     seen.clear()
                 if fresh:
                     chars, o = _code_points(data, off[lo : hi + 1])
-                    row, key = keys_of(common.prefix_hash(chars), o[:-1][fresh], np.diff(o)[fresh], t, least_chars)
+                    begin, length = o[:-1][fresh], np.diff(o)[fresh]
+                    row, key = keys_of(common.prefix_hash(chars), begin, length, t, least_chars)
+                    key = key & ~LOW_HALF | parities(chars, begin, length)[row]
                     yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][fresh][row]), pa.array(key)], names=["h", "key"])
 
     return cut
@@ -173,19 +188,28 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def keyed(lines: DataFrame, keys_of, t: int = DISTANCE, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """(h, key): the keys of every distinct line of lines (h, line), each once, parted by key."""
+    """(h, key, meet): the keys of every distinct line of lines (h, line), each once, parted by meet, their upper half; the lower half holds
+    the line's parities."""
     common.bound_batches(lines.sparkSession)
     sent = lines.select("h", "line").mapInArrow(_segmenter(t, least_chars, keys_of), "h long, key long")
-    return sent.repartition("key").dropDuplicates(["key", "h"])
+    meet = F.shiftright("key", 32)  # made on either side of the exchange, so that only h and key cross it
+    return sent.repartition(meet).withColumn("meet", meet).dropDuplicates(["meet", "key", "h"])
+
+
+def candidates(lines: DataFrame, t: int = DISTANCE, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """(h, g), h < g, once each: hashes of lines (h, line) that share a segment and whose parities leave room for t edits. No pair within the
+    edits allowed is missing."""
+    entered = keyed(lines, index_keys, t, least_chars)
+    probed = keyed(lines, probe_keys, t, least_chars).withColumnsRenamed({"h": "g", "key": "probe"})
+    close = F.bit_count(F.col("key").bitwiseXOR(F.col("probe"))) <= 2 * t  # the upper halves are equal
+    met = entered.hint("merge").join(probed, "meet").where(close & (F.col("h") != F.col("g")))
+    return met.select(F.least("h", "g").alias("h"), F.greatest("h", "g").alias("g")).distinct()
 
 
 def near_lines(lines: DataFrame, t: int = DISTANCE, least_chars: int = LEAST_CHARS) -> tuple[DataFrame, DataFrame]:
     """For lines (h, h2, place, line): (h, h2, g, g2), pairs of distinct lines within the edits allowed to their length, either way
     around once, and (h, h2, first, line) of the lines that were compared, both written tables."""
-    entered = keyed(lines, index_keys, t, least_chars)
-    probed = keyed(lines, probe_keys, t, least_chars).withColumnRenamed("h", "g")
-    met = entered.hint("merge").join(probed, "key").where("h <> g").select(F.least("h", "g").alias("h"), F.greatest("h", "g").alias("g")).distinct()
-    met = common.materialise(met, "met")
+    met = common.materialise(candidates(lines, t, least_chars), "met")
     wanted = common.materialise(met.select("h").union(met.select("g")).distinct(), "wanted")
     texts = lines.join(common.small_enough(wanted, 8), "h", "left_semi").groupBy("h", "h2").agg(F.min("place").alias("first"), F.first("line").alias("line"))
     texts = common.materialise(texts, "met-lines")
