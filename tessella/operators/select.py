@@ -74,12 +74,21 @@ def ranked(rows: DataFrame, order: list[Column], by: list[str] | None = None, na
 
 
 def at_quantile_positions(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
-    """k rows of each group at evenly spaced positions of its order, first and last included, halves to even; small groups whole."""
-    w = Window.partitionBy(*by)
-    r = rows.withColumn("__i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("__n", F.count("*").over(w))
-    step = (F.col("__n") - 1) / float(max(k - 1, 1))
-    positions = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.when(j == k - 1, F.col("__n") - 1 if k > 1 else F.lit(0)).otherwise(F.rint(j * step)).cast("long"))
-    return r.where((F.col("__n") <= k) | F.array_contains(positions, F.col("__i").cast("long"))).drop("__i", "__n")
+    """k rows of each group at evenly spaced positions of its order, first and last included, halves to even; small groups whole. Rows
+    are ranked over all groups by ranges, so no task sees a group whole, and those at the wanted ranks are kept."""
+    r = ranked(rows, [*map(F.col, by), *order], name="__p")
+    groups = rows.groupBy(*by).agg(F.count("*").alias("__n"))
+    few = groups.count() * k <= SORTED_AT_ONCE
+    if few:  # the ranks before each group in one task; else from the rows
+        groups = groups.select("__n", (F.sum("__n").over(Window.orderBy(*by)) - F.col("__n")).alias("__s"))
+    else:
+        groups = r.groupBy(*by).agg(F.count("*").alias("__n"), F.min("__p").alias("__s"))
+    n = F.col("__n")
+    step = (n - 1) / float(max(k - 1, 1))
+    positions = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.when(j == k - 1, n - 1 if k > 1 else F.lit(0)).otherwise(F.rint(j * step)).cast("long"))
+    inside = F.when(n <= k, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(positions)
+    wanted = groups.select(F.explode(F.transform(inside, lambda i: i + F.col("__s"))).alias("__p"))
+    return r.join(F.broadcast(wanted) if few else wanted, "__p", "left_semi").drop("__p")
 
 
 def tertiles(rows: DataFrame, value: str, name: str = "tertile") -> DataFrame:
@@ -116,7 +125,7 @@ def stratified_cohort(rows: DataFrame, route: str, routes: list[str], reliabilit
     so that step runs on the driver."""
     cells = at_quantile_positions(rows.where(F.col(route).isin(routes)), [route], [F.col(reliability), F.col(index)], per_route)
     place = F.array_position(F.array(*map(F.lit, routes)), F.col(route))
-    chosen = [r[0] for r in cells.select(index, place.alias("p"), reliability).orderBy("p", reliability, index).collect()]
+    chosen = [r[0] for r in cells.select(index, place.alias("p"), reliability).orderBy("p", reliability, index).limit(per_route * len(routes)).collect()]
     pinned: set[int] = set()
     for test in forced.values():
         have = rows.where(F.col(index).isin(chosen) & test).select(index).collect()

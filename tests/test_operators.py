@@ -146,3 +146,22 @@ def test_quantiles_are_exact_and_sort_no_group(spark, monkeypatch):
         (q,) = stats.exact_quantiles(df, [], "v", at).collect()
         assert np.allclose(q.q, np.percentile([v for _, v in data if v is not None], [100 * x for x in at]))
     assert stats.exact_quantiles(df.where("g = 'z'"), ["g"], "v", at).count() == 0
+
+
+@pytest.mark.parametrize("at_once", [1_000_000, 0])
+def test_quantile_positions_are_exact_and_no_task_sees_a_group(spark, monkeypatch, at_once):
+    monkeypatch.setattr(select, "SORTED_AT_ONCE", at_once)
+    own = spark.newSession()
+    own.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rng = np.random.default_rng(5)
+    data = [(i, g, v) for i, (g, v) in enumerate((g, None if v == 3 else float(v)) for g, n in (("a", 4000), ("b", 1), ("c", 4), (None, 61)) for v in rng.integers(0, 40, n))]
+    df = own.createDataFrame(data, "i long, g string, v double").repartition(5)
+    for k, sign in ((1, 1), (4, 1), (7, -1)):
+        order = [F.col("v") if sign > 0 else F.col("v").desc_nulls_first(), F.col("i")]
+        got = select.at_quantile_positions(df, ["g"], order, k).withColumn("task", F.spark_partition_id()).collect()
+        want = set()
+        for g in ("a", "b", "c", None):
+            ids = [i for i, h, v in sorted(data, key=lambda x: (x[2] is not None, sign * (x[2] or 0), x[0])) if h == g]
+            want |= set(ids) if len(ids) <= k else {ids[round(p)] for p in np.linspace(0, len(ids) - 1, k)}
+        assert sorted(r.i for r in got) == sorted(want)
+        assert k == 1 or len({r.task for r in got if r.g == "a"}) > 1
